@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, pii, quality_rules
+from millrace.llm import bpe, exact_dedup, packing, pii, quality_rules
 from millrace.llm.common import table
 
 
@@ -20,5 +20,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op6_exact_dedup, op7_quality_rules)}
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public tokenizers keeps ``name``."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op10_bpe)}
 ORACLES: dict[str, str] = {}
