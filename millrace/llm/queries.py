@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact_dedup, lm_score, packing, pii, quality_rules
+from millrace.llm import bpe, exact_dedup, lm_score, ngram_join, packing, pii, quality_rules
 from millrace.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op5_lm_scoring, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op5_lm_scoring, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op10_bpe)}
 ORACLES: dict[str, str] = {}
