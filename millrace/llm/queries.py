@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact_dedup, lm_score, ngram_join, packing, pii, quality_rules
+from millrace.llm import bpe, exact_dedup, lm_score, ngram_join, packing, pii, quality_rules, substring_dedup
 from millrace.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op5_lm_scoring, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_substring_dedup, op5_lm_scoring, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op10_bpe)}
 ORACLES: dict[str, str] = {}
