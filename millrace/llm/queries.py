@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact_dedup, lm_score, ngram_join, packing, pii, quality_rules, substring_dedup
+from millrace.llm import bpe, classifier, exact_dedup, lm_score, ngram_join, packing, pii, quality_rules, substring_dedup
 from millrace.llm.common import table
 
 
@@ -43,9 +43,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_substring_dedup, op5_lm_scoring, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_substring_dedup, op5_lm_scoring, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_bpe)}
 ORACLES: dict[str, str] = {}
