@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +34,20 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpointed
 
 CAPACITY, END_ID = 4096, 1
-#: Chunks whose ids a worker remembers; about 50 MB for each of two generations.
-MEMO = 200_000
+#: Chunks whose ids a worker remembers; about 90 MB for each of two generations.
+MEMO = 400_000
+#: A full stop or comma between a letter or digit and white space is a word of its own.
+_STOP = re.compile(r"(?<=[^\W_])[.,](?=\s|$)")
 #: Python's white space that the tokenizer's pattern does not count as such.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 class ChunkEncoder:
-    """Ids of whole texts by a tokenizer that drops white space and never looks across it.
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and never looks across it.
 
-    A text is split at white space; each different chunk is encoded once and remembered.
+    A text is split at white space, and before a full stop or comma that ends a word; each different
+    chunk is encoded once and remembered. New chunks of letters alone, each of which is one word to
+    the tokenizer, are encoded together and told apart by the ids that end a word.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -52,30 +57,54 @@ class ChunkEncoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), memo
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of ``words``, which are of letters alone."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            raw = self._encode([" ".join(some)])[0]
+            stops = (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1) * 4
+            if len(stops) == len(some):
+                stops = stops.tolist()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+            else:  # a letter to Python that is none to the tokenizer
+                out += self._encode(some)
+        return out
+
+    def _chunks(self, text: str) -> list[str] | None:
+        """Chunks whose ids make up those of ``text``; None if it must be encoded as it is."""
+        if not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text)):
+            return None
+        if any(c in text for c in _ODD_SPACE) or any(t in (lower := text.lower()) for t in self.special):
+            return None
+        return _STOP.sub(r" \g<0>", lower).split()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.memo) > self.limit:
-            self.memo, self.old = {}, self.memo
-        for text in texts:
-            if any(c in text for c in _ODD_SPACE):
-                yield self._encode([text])[0]
-                continue
-            chunks = text.split()
-            memo = self.memo
-            if missing := set(chunks).difference(memo):
-                old = self.old
-                memo.update((c, old[c]) for c in missing if c in old)
-                new = [c for c in missing if c not in memo]
-                memo.update(zip(new, self._encode(new), strict=True))
-            yield b"".join([memo[c] for c in chunks])
-            if len(memo) > 2 * self.limit:
-                self.memo, self.old = {}, memo
+        split = [self._chunks(t) for t in texts]
+        memo = self.memo
+        if missing := set().union(*(c for c in split if c is not None)).difference(memo):
+            if len(memo) > self.limit:
+                self.old, self.memo = memo, {}
+                memo = self.memo
+                missing = set().union(*(c for c in split if c is not None))
+            old = self.old
+            memo.update((c, old[c]) for c in missing if c in old)
+            new = [c for c in missing if c not in memo]
+            words, others = [c for c in new if c.isalpha()], [c for c in new if not c.isalpha()]
+            memo.update(zip(words, self._words(words), strict=True))
+            memo.update(zip(others, self._encode(others), strict=True))
+        return [self._encode([t])[0] if c is None else b"".join([memo[x] for x in c]) for t, c in zip(texts, split, strict=True)]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -90,13 +119,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
     def run(batches):
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, ChunkEncoder(tokenizer))
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for doc_id, raw in zip(ids, encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                raw += end
-                for k in range(0, len(raw), size):
-                    part = raw[k : k + size]
-                    for column, value in zip(out, (doc_id, k // size, k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    raw += end
+                    for k in range(0, len(raw), size):
+                        piece = raw[k : k + size]
+                        for column, value in zip(out, (doc_id, k // size, k // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
+                            column.append(value)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
