@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, classifier, exact_dedup, lm_score, ngram_join, packing, pii, quality_rules, substring_dedup
+from millrace.llm import bpe, chat, classifier, exact_dedup, lm_score, ngram_join, packing, pii, quality_rules, substring_dedup
 from millrace.llm.common import table
 
 
@@ -20,6 +21,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.find_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    labelled = turns.filter(F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 5 != 2, F.lit(False)))
+    return chat.format_chats(turns, chat.fit(labelled))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
@@ -51,5 +58,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_substring_dedup, op5_lm_scoring, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_substring_dedup, op4_chat_formatting, op5_lm_scoring, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_bpe)}
 ORACLES: dict[str, str] = {}
