@@ -9,8 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, pii, quality_rules
+from millrace.llm import exact_dedup, ngram_join, packing, pii, quality_rules
 from millrace.llm.common import shared_folder, table
+from millrace.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +22,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.drop_near_copies(docs)
+
+
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.mask_pii(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("pii", mask)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("PII", mask), ("best-fit packing", pack)]
+#: Near duplicates and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
