@@ -31,31 +31,31 @@ _SPACES = " \t\n\x0b\f\r"
 _BITS = 20
 
 
-def repeated_words(words: str, n: str) -> str:
-    """SQL for the number of words in 3-word windows that occur twice or more among ``words``.
+def repeated_words(words: str) -> str:
+    """SQL for the number of words in 3-word windows that occur twice or more in the array ``words``.
 
     Windows are packed as (hash, place) into longs and sorted; neighbours of equal hash are
     compared word by word. Where two different windows meet under one hash, or the text is too
-    long for the packing, the windows themselves are sorted.
+    long for the packing, the windows themselves are sorted. Each part is bound by an aggregate over
+    one element, so that it is computed once wherever the optimizer puts the expression.
     """
     mask = (1 << _BITS) - 1
     return f"""
-    CASE WHEN {n} < 3 THEN 0L ELSE aggregate(
-      array(struct({words} AS w, CASE WHEN {n} > {mask} THEN array(0L) ELSE
-        sort_array(transform(sequence(0, {n} - 3), i -> shiftleft(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]), {_BITS}) | i)) END AS s)),
+    aggregate(array({words}), 0L, (acc0, w) -> acc0 + CASE WHEN size(w) < 3 THEN 0L ELSE aggregate(
+      array(CASE WHEN size(w) > {mask} THEN array(0L) ELSE
+        sort_array(transform(sequence(0, size(w) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), {_BITS}) | i)) END),
       0L,
-      (acc, x) -> acc + aggregate(
-        array(transform(filter(sequence(0, greatest(size(x.s) - 2, 0)), j -> size(x.s) > 1 AND shiftright(x.s[j], {_BITS}) = shiftright(x.s[j + 1], {_BITS})),
-              j -> struct(CAST(x.s[j] & {mask} AS INT) AS a, CAST(x.s[j + 1] & {mask} AS INT) AS b))),
+      (acc, s) -> acc + aggregate(
+        array(transform(filter(sequence(0, greatest(size(s) - 2, 0)), j -> size(s) > 1 AND shiftright(s[j], {_BITS}) = shiftright(s[j + 1], {_BITS})),
+              j -> struct(CAST(s[j] & {mask} AS INT) AS a, CAST(s[j + 1] & {mask} AS INT) AS b))),
         0L,
         (acc2, p) -> acc2 + aggregate(
-          array(CASE WHEN {n} > {mask} OR exists(p, q -> x.w[q.a] != x.w[q.b] OR x.w[q.a + 1] != x.w[q.b + 1] OR x.w[q.a + 2] != x.w[q.b + 2])
-                THEN {_slow('x.w', n)}
+          array(CASE WHEN size(w) > {mask} OR exists(p, q -> w[q.a] != w[q.b] OR w[q.a + 1] != w[q.b + 1] OR w[q.a + 2] != w[q.b + 2])
+                THEN {_slow('w', 'size(w)')}
                 ELSE sort_array(array_distinct(concat(transform(p, q -> q.a), transform(p, q -> q.b)))) END),
           0L,
           (acc3, at) -> acc3 + CASE WHEN size(at) = 0 THEN 0L ELSE
-            3L + aggregate(sequence(0, size(at) - 1), 0L, (c, k) -> c + CASE WHEN k = 0 THEN 0L ELSE CAST(least(3, at[k] - at[k - 1]) AS BIGINT) END) END)))
-    END"""
+            3L + aggregate(sequence(0, size(at) - 1), 0L, (c, k) -> c + CASE WHEN k = 0 THEN 0L ELSE CAST(least(3, at[k] - at[k - 1]) AS BIGINT) END) END))) END)"""
 
 
 def _slow(words: str, n: str) -> str:
@@ -65,6 +65,11 @@ def _slow(words: str, n: str) -> str:
       transform(filter(sequence(0, greatest(size(g) - 2, 0)), j -> size(g) > 1 AND {same}), j -> array(g[j].i, g[j + 1].i)))))))"""
 
 
+def _removed(lines: str, gone: str) -> str:
+    """SQL for the number of words in the ``lines`` at the places ``gone``."""
+    return f"aggregate(array({lines}), 0L, (acc, l) -> aggregate({gone}, acc, (a, i) -> a + size(filter(split(l[i], r'{GAP}'), w -> w != ''))))"
+
+
 def text_stats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for each row."""
     t = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
@@ -75,7 +80,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
         F.length(F.translate("t", _SPACES, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(repeated_words("w", "size(w)")).alias("n_repeat_words"),
+        F.expr(repeated_words("w")).alias("n_repeat_words"),
     )
     return t.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
@@ -121,7 +126,7 @@ def mark_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
         by_host = frequent.groupBy("__host").agg(F.collect_list("line").alias("__lines"))
         t = docs.withColumn("__host", _host()).join(F.broadcast(by_host), "__host", "left")
         t = t.withColumn("__hashes", F.when(F.col("__lines").isNotNull(), _hashes(F.col("text"))))
-        gone = F.expr("filter(sequence(0, size(__hashes) - 1), i -> coalesce(array_contains(__lines, __hashes[i]), false))")
+        gone = F.expr("transform(array(__hashes), h -> filter(sequence(0, size(h) - 1), i -> coalesce(array_contains(__lines, h[i]), false)))[0]")
         t = t.withColumn("__gone", F.when(F.col("__lines").isNotNull(), gone).otherwise(F.array().cast("array<int>")))
         return t.drop("__host", "__lines", "__hashes")
     # Places come back by document; each document has a bounded number of lines of its own.
@@ -132,6 +137,11 @@ def mark_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
     return t.withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
 
 
+def _removed(lines: str, gone: str) -> str:
+    """SQL for the number of words in the ``lines`` at the places ``gone``."""
+    return f"aggregate(array({lines}), 0L, (acc, l) -> aggregate({gone}, acc, (a, i) -> a + size(filter(split(l[i], r'{GAP}'), w -> w != ''))))"
+
+
 def text_stats(marked: DataFrame) -> DataFrame:
     """doc_id, the plain counts of each text, base_failed and removed_words for each row of ``mark_lines``."""
     t = marked.select("doc_id", "__gone", F.coalesce(F.col("text"), F.lit("")).alias("t"))
@@ -143,8 +153,8 @@ def text_stats(marked: DataFrame) -> DataFrame:
         F.length(F.translate("t", _SPACES, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
-        F.expr(repeated_words("w", "size(w)")).alias("n_repeat_words"),
-        F.aggregate("__gone", F.lit(0).cast("long"), lambda acc, i: acc + F.size(words_of(F.col("lines")[i]))).alias("removed_words"),
+        F.expr(repeated_words("w")).alias("n_repeat_words"),
+        F.expr(_removed("lines", "__gone")).alias("removed_words"),
     )
     return t.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
@@ -162,9 +172,8 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, deple
     """
     t = mark_lines(docs, min_docs, share, bound)
     t = t.withColumn("__w", words_of(F.col("text"))).withColumn("__lines", F.split("text", "\n"))
-    t = t.withColumn("__n", F.size("__w")).filter("__n >= 50")
-    t = t.filter(F.expr(f"100 * {repeated_words('__w', '__n')} <= 50 * __n"))
-    t = t.filter(F.aggregate("__gone", F.lit(0), lambda acc, i: acc + F.size(words_of(F.col("__lines")[i]))) < F.col("__n") * depleted)
+    t = t.withColumn("__stay", F.expr(f"""transform(array(struct(__w AS w, __lines AS l, __gone AS g)), x -> size(x.w) >= 50 AND {_removed('x.l', 'x.g')} < size(x.w) * {float(depleted)}D
+        AND 100 * {repeated_words('x.w')} <= 50 * size(x.w))[0]""")).filter("__stay")
     rest = F.array_join(F.expr("transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i])"), "\n")
     t = t.withColumn("text", F.when(F.size("__gone") > 0, rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
