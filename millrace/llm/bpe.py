@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpointed, shared_folder
 
-SHARE = 1 << 17
+SHARE = 1 << 19
 #: Merged words that a worker remembers, in each of two generations.
-MEMO = 100_000
+MEMO = 250_000
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -59,6 +59,8 @@ class Merger:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.start = [vocab[letters[b]] for b in range(256)]
         self.ranks = {(vocab[a], vocab[b]): (i, vocab[a + b]) for i, (a, b) in enumerate(pairs)}
+        self.rank_of = {pair: i for pair, (i, _) in self.ranks.items()}.get
+        self.merged_id = [vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = {i: bytes(back[c] for c in token) for token, i in vocab.items() if token not in self.special}
         self.bytes |= {i: token.encode() for token, i in self.special.items()}
@@ -79,21 +81,19 @@ class Merger:
         if n < 2:
             return ids
         ranks = self.ranks
-        if n < 16:
-            while len(ids) > 1:
-                best = min((ranks.get(p, (1 << 60, 0)) + (i,) for i, p in enumerate(zip(ids, ids[1:], strict=False))))
-                if best[0] == 1 << 60:
-                    break
-                # All places of this rank, from the left, before any other.
-                a, b, i, out = ids[best[2]], ids[best[2] + 1], 0, []
-                while i < len(ids):
-                    if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                        out.append(best[1])
-                        i += 2
-                    else:
-                        out.append(ids[i])
-                        i += 1
-                ids = out
+        if n < 100:
+            # Short words: the list of pair ranks is kept up to date, and its least is taken, leftmost first.
+            rank, new = self.rank_of, self.merged_id
+            last = len(new)
+            order = [rank(p, last) for p in zip(ids, ids[1:], strict=False)]
+            while order and (best := min(order)) < last:
+                i = order.index(best)
+                ids[i] = new[best]
+                del ids[i + 1], order[i]
+                if i:
+                    order[i - 1] = rank((ids[i - 1], ids[i]), last)
+                if i < len(order):
+                    order[i] = rank((ids[i], ids[i + 1]), last)
             return ids
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
         heap = [(*ranks[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in ranks]
@@ -208,6 +208,7 @@ class Encoder:
 
     def __init__(self, tokenizer: str, lexicon: Lexicon, memo: int = MEMO):
         self.merger, self.lexicon, self.limit = Merger(tokenizer), lexicon, memo
+        self.by_place: dict[int, tuple[int, str, bytes]] = {}
         self.merged: dict[str, tuple[int, str, bytes]] = {}
         self.old: dict[str, tuple[int, str, bytes]] = {}
 
@@ -218,19 +219,22 @@ class Encoder:
         """(number of ids, ids, decoded bytes) for each of the different ``words``."""
         raw = [w.encode("utf-8", "replace") for w in words]
         out: dict[str, tuple[int, str, bytes]] = {}
-        special = self.merger.special
+        special, by_place, merged, old = self.merger.special, self.by_place, self.merged, self.old
         for word, data, place in zip(words, raw, self.lexicon.places(raw).tolist(), strict=True):
-            if word in special:
-                out[word] = self._entry([special[word]])
-            elif place >= 0:
-                out[word] = self._entry(self.lexicon.ids_of(place))
-            else:
-                found = self.merged.get(word) or self.old.get(word) or self._entry(self.merger.merge(data))
-                out[word] = found
-                if len(data) <= 64:
-                    self.merged[word] = found
-        if len(self.merged) > self.limit:
-            self.merged, self.old = {}, self.merged
+            if place >= 0:
+                found = by_place.get(place)
+                if found is None:
+                    found = by_place[place] = self._entry(self.lexicon.ids_of(place))
+            elif (found := merged.get(word)) is None:
+                if word in special:
+                    found = self._entry([special[word]])
+                else:
+                    found = old.get(word) or self._entry(self.merger.merge(data))
+                    if len(data) <= 64:
+                        merged[word] = found
+            out[word] = found
+        if len(merged) > self.limit:
+            self.merged, self.old = {}, merged
         return out
 
     def encode(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
