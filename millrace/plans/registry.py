@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,12 +26,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql_query(name: str, text: str, oracle: str | None = "same") -> None:
     """Register Spark SQL over the tables as ``name``; ``oracle`` 'same' means DuckDB reads the same text."""
-    import re
-
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", text), **{t: load(spark, sf_dir, t) for t in used}) if used else spark.sql(text)
+        if not used:
+            return spark.sql(text)
+        # Tables are bound to this call, so two calls with different folders do not disturb each other.
+        bound = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", text)
+        return spark.sql(bound, **{t: load(spark, sf_dir, t) for t in used})
 
     QUERIES[name] = Query(run, text if oracle == "same" else oracle)
 
@@ -43,11 +46,3 @@ def df_query(name: str, oracle: str | None = None):
         return run
 
     return add
-
-
-sql_query(
-    "group_by_multi",
-    """SELECT l_returnflag, l_linestatus, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS sum_qty,
-       ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, ROUND(AVG(l_discount), 4) AS avg_disc
-       FROM lineitem GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
-)
