@@ -48,21 +48,17 @@ def date_add(x: str, n: str, unit: str, sign: int = 1) -> str:
 
 
 def date_format(x: str, pattern: str) -> str:
-    out, i = "", 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "%":
-            letter = pattern[i + 1 : i + 2]
-            if letter == "%":
-                out += "%"
-            elif letter in DATE_LETTERS:
-                out += DATE_LETTERS[letter]
-            else:
-                raise EngineError(1235, f"DATE_FORMAT does not support %{letter}")
-            i += 2
-            continue
-        out += f"''{c}''".replace("''", "\\'") if c.isalpha() else "\\'\\'" if c == "'" else c
-        i += 1
+    out = ""
+    for part in re.findall(r"%.?|[A-Za-z]+|[^%A-Za-z]", pattern, re.DOTALL):
+        if part[0] != "%":
+            # Letters are quoted in Spark's patterns, a quote is doubled.
+            out += f"\\'{part}\\'" if part.isalpha() else "\\'\\'" if part == "'" else part
+        elif part == "%%":
+            out += "%"
+        elif part[1:] in DATE_LETTERS:
+            out += DATE_LETTERS[part[1:]]
+        else:
+            raise EngineError(1235, f"DATE_FORMAT does not support {part}")
     return f"date_format({temporal(x)}, '{out}')"
 
 
