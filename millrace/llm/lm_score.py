@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpointed, shared_folder
 
-DEPTH, NODES, FINEST, SHARE = 5, 32_768, 1 << 17, 1 << 17
+DEPTH, NODES, FINEST, SHARE = 5, 32_768, 1 << 17, 1 << 19
 END = 255
 #: Bytes that one numpy pass takes.
 STEP = 1 << 20
+#: Nodes of the tree that are computed together.
+CHUNK = 512
 
 
 def held_out() -> Column:
@@ -171,11 +173,12 @@ class ContextTree:
         total = int(starts[-1])
         if total > 65_534:
             raise ValueError("more contexts than 16-bit node numbers hold")
-        counts = []
-        for d, level in enumerate(levels):
-            c, own = np.zeros((len(level), 256)), rows[rows[:, 0] == d]
-            np.add.at(c, (np.searchsorted(level, own[:, 1]), own[:, 2]), own[:, 3])
-            counts.append(c)
+
+        def counted(d: int) -> np.ndarray:
+            c, own = np.zeros((len(levels[d]), 256)), rows[rows[:, 0] == d]
+            np.add.at(c, (np.searchsorted(levels[d], own[:, 1]), own[:, 2]), own[:, 3])
+            return c
+
         child = np.full((total + 1, 256), total, dtype=np.uint16)
         parents = [np.zeros(0, dtype=np.int64)]
         for d in range(1, depth + 1):
@@ -185,44 +188,52 @@ class ContextTree:
         # From the deepest contexts up: how much of a node's weight is its own estimate's.
         own_share: list[np.ndarray] = [np.ones(0)] * (depth + 1)
         rest_kt: list[np.ndarray | None] = [None] * (depth + 1)
-        below = None
+        below = deeper = None
         for d in range(depth, -1, -1):
-            zeros, ones = _bits(counts[d])
-            own = log_kt(zeros, ones)
-            if d == depth:
-                own_share[d], below = np.ones_like(own), own
-                continue
-            kept = np.zeros_like(counts[d])
-            np.add.at(kept, parents[d + 1], counts[d + 1])
-            z, o = _bits(counts[d] - kept)
-            children = log_kt(z, o)
-            np.add.at(children, parents[d + 1], below)
-            below = np.logaddexp(own, children) - math.log(2)
-            own_share[d] = np.exp(own - math.log(2) - below).astype(np.float32)
-            rest_kt[d] = np.where(z + o > 0, (o + 0.5) / (z + o + 1), -1.0).astype(np.float32)
+            counts = counted(d)
+            weighted, own_share[d], rest_kt[d] = np.empty((len(counts), 256)), np.ones((len(counts), 256), np.float32), np.full((len(counts), 256), -1.0, np.float32)
+            children = np.zeros((len(counts), 256))
+            if d < depth:
+                np.add.at(children, parents[d + 1], below)
+                rest = counts.copy()
+                np.subtract.at(rest, parents[d + 1], deeper)
+            for i in range(0, len(counts), CHUNK):
+                at = slice(i, i + CHUNK)
+                own = log_kt(*_bits(counts[at]))
+                if d == depth:
+                    weighted[at] = own
+                    continue
+                z, o = _bits(rest[at])
+                weighted[at] = np.logaddexp(own, children[at] + log_kt(z, o)) - math.log(2)
+                own_share[d][at] = np.exp(own - math.log(2) - weighted[at])
+                rest_kt[d][at] = np.where(z + o > 0, (o + 0.5) / (z + o + 1), -1.0)
+            below, deeper = weighted, counts
+        del below, deeper, weighted, children
         # From the root down: the mixture of all nodes on the path.
         log10p = np.zeros((total + 1, 256), dtype=np.float32)
         kt = mixed = weight = None
         for d in range(depth + 1):
-            zeros, ones = _bits(counts[d])
-            n = zeros + ones
-            if d == 0:
-                kt, mixed, weight = (ones + 0.5) / (n + 1), np.zeros((1, 256)), np.ones((1, 256))
+            counts, n = counted(d), len(levels[d])
+            new_kt = np.empty((n, 256), np.float32)
+            if d:
+                mixed, weight = (mixed + weight * own_share[d - 1] * kt)[parents[d]], (weight * (1 - own_share[d - 1]))[parents[d]]
             else:
-                p = parents[d]
-                mixed, weight = (mixed + weight * own_share[d - 1] * kt)[p], (weight * (1 - own_share[d - 1]))[p]
-                kt = np.where(n > 0, (ones + 0.5) / (n + 1), kt[p])
-            last = kt
-            if d < depth:
-                last = own_share[d] * kt + (1 - own_share[d]) * np.where(rest_kt[d] >= 0, rest_kt[d], kt)
-            one = np.clip(mixed + weight * last, 1e-12, 1 - 1e-12)
-            for i in range(0, len(one), 2048):
-                some = one[i : i + 2048]
-                heap = np.zeros((len(some), 512))
+                mixed, weight = np.zeros((1, 256), np.float32), np.ones((1, 256), np.float32)
+            for i in range(0, n, CHUNK):
+                at = slice(i, i + CHUNK)
+                zeros, ones = _bits(counts[at])
+                own = (ones + 0.5) / (zeros + ones + 1)
+                new_kt[at] = own if d == 0 else np.where(zeros + ones > 0, own, kt[parents[d][at]])
+                last = new_kt[at].astype(np.float64)
+                if d < depth:
+                    last = own_share[d][at] * last + (1 - own_share[d][at]) * np.where(rest_kt[d][at] >= 0, rest_kt[d][at], last)
+                one = np.clip(mixed[at] + weight[at] * last, 1e-9, 1 - 1e-9)
+                heap = np.zeros((len(one), 512))
                 for node in range(1, 256):
-                    heap[:, 2 * node] = heap[:, node] + np.log10(1 - some[:, node])
-                    heap[:, 2 * node + 1] = heap[:, node] + np.log10(some[:, node])
-                log10p[starts[d] + i : starts[d] + i + len(some)] = heap[:, 256:]
+                    heap[:, 2 * node] = heap[:, node] + np.log10(1 - one[:, node])
+                    heap[:, 2 * node + 1] = heap[:, node] + np.log10(one[:, node])
+                log10p[starts[d] + i : starts[d] + i + len(one)] = heap[:, 256:]
+            kt = new_kt
         return cls(child, log10p, depth)
 
     def symbols(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -248,12 +259,18 @@ class ContextTree:
 
 def fit_tree(grams: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> ContextTree:
     """The tree of ``gram_counts``. At most ``nodes`` contexts, and up to 256 counts for each, come to the driver."""
-    grams = checkpointed(grams)
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = grams.select("n", F.col("gram").bitwiseAND(255).alias("symbol"), F.shiftright("gram", 8).alias("history"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
-    levels = levels.withColumn("context", F.expr("history & (shiftleft(1L, 8 * depth) - 1)"))
-    by_symbol = checkpointed(levels.groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n")))
-    contexts = by_symbol.groupBy("depth", "context").agg(F.sum("n").alias("of")).filter(F.col("of") * FINEST >= total)
+    # Counts of shorter contexts are sums of those of longer ones, so each depth reads the one before it.
+    level = checkpointed(grams)
+    total = level.agg(F.sum("n")).first()[0] or 0
+    parts = []
+    for d in range(depth, -1, -1):
+        parts.append(level.select(F.lit(d).alias("depth"), F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("symbol"), "n"))
+        if d:
+            level = checkpointed(level.groupBy(F.col("gram").bitwiseAND((1 << 8 * d) - 1).alias("gram")).agg(F.sum("n").alias("n")))
+    by_symbol = parts[0]
+    for part in parts[1:]:
+        by_symbol = by_symbol.unionByName(part)
+    contexts = checkpointed(by_symbol.groupBy("depth", "context").agg(F.sum("n").alias("of")).filter(F.col("of") * FINEST >= total))
     # At most FINEST contexts a depth are left, so their different counts are few.
     held, least = 0, total + 1
     for of, n in sorted(((r["of"], r["n"]) for r in contexts.groupBy("of").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
@@ -294,18 +311,22 @@ def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, share: int =
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 raw = [lower_bytes(t) for t in batch.column(1).to_pylist()]
-                out = [[] for _ in schema]
+                out, rare_words, rare_counts = [[] for _ in schema], [], []
                 for doc_id, held, text, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), raw, model.score(raw), strict=True):
                     words = text.split()
                     values = [top.get(w) for w in words]
                     rare = Counter([w for w, v in zip(words, values, strict=True) if v is None])
                     found = [v for v in values if v is not None]
                     known = len(found) + (1 if texts else 0)
-                    row = (key, doc_id, held, len(words) + 1, known, math.fsum(found) + end, p, len(text), [{"word": w, "tf": n} for w, n in rare.items()])
+                    row = (key, doc_id, held, len(words) + 1, known, math.fsum(found) + end, p, len(text), len(rare))
+                    rare_words += rare.keys()
+                    rare_counts += rare.values()
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                     key += 1
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                tail = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["word", "tf"])
+                tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *out.pop()]), pa.int32()), tail)
+                yield pa.record_batch([*(pa.array(c, f.type) for c, f in zip(out, schema, strict=False)), tail], schema=schema)
 
     path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
     rows.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, upper double, score double, n_bytes long, rare array<struct<word: binary, tf: long>>").write.parquet(path)
