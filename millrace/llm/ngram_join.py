@@ -39,10 +39,10 @@ from millrace.llm.components import connected_components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 HASHES, ROWS, CHECK_EVERY = 128, 4, 8
-BLOCK_DOCS, BLOCK_WORDS = 2048, 2_000_000
+BLOCK_DOCS, BLOCK_WORDS = 1024, 2_000_000
 #: Members of candidate components up to this many are broadcast (about 15 MB) to pick their texts.
 BROADCAST_MEMBERS = 250_000
-_MEMO = 300_000
+_MEMO = 150_000
 _U = np.uint64
 
 
@@ -187,6 +187,7 @@ def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
                         column.append(value)
                     key += 1
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        _memo.clear()  # the worker may serve other operators next
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "key long, doc_id long, f1 long, f2 long, words long, signature binary")
@@ -265,8 +266,8 @@ def _verified(members: DataFrame, threshold: float, tolerance: float) -> DataFra
         label, before = key.copy(), None
         while before is None or (label != before).any():
             before = label
-            label = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1))
-        return pa.record_batch([pa.array(key[some]), pa.array((near @ copies)[some]), pa.array(near.sum(axis=1)[some]), pa.array(label[some])], schema=schema)
+            label = np.array([min(own, label[row].min()) if row.any() else own for own, row in zip(label, near, strict=True)])
+        return pa.record_batch([pa.array(key[some]), pa.array(np.array([copies[row].sum() for row in near[some]], dtype=np.int64)), pa.array(near.sum(axis=1)[some]), pa.array(label[some])], schema=schema)
 
     def run(batches):
         group, rows = None, []

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpointed
 
 CAPACITY, END_ID = 4096, 1
-#: Chunks whose ids a worker remembers; about 90 MB for each of two generations.
-MEMO = 400_000
+#: Chunks whose ids a worker remembers; about 65 MB for each of two generations.
+MEMO = 300_000
 #: A full stop or comma between a letter or digit and white space is a word of its own.
 _STOP = re.compile(r"(?<=[^\W_])[.,](?=\s|$)")
 #: Python's white space that the tokenizer's pattern does not count as such.
