@@ -189,3 +189,10 @@ FUNCTIONS |= {name: (lambda fn: lambda *a: f"millrace_{fn}({', '.join(a)})")(nam
 
 def regex_literal(pattern: str) -> str:
     return quote(pattern)
+
+
+def _srid(g: str, srid: str | None = None) -> str:
+    return f"millrace_st_srid({g})" if srid is None else f"millrace_st_srid_set({g}, {srid})"
+
+
+FUNCTIONS["ST_SRID"] = _srid
