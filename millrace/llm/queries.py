@@ -59,4 +59,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_substring_dedup, op4_chat_formatting, op5_lm_scoring, op6_exact_dedup, op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_bpe)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.t) AS text_sha256
+FROM d JOIN g ON d.t = g.t""",
+    "op7_quality_rules": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split(t, chr(10)) AS lines FROM d),
+grams AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS g FROM w, unnest(range(1, len(w) - 1)) AS r(i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) x WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
+ln AS (SELECT doc_id, host, t, trim(lower(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM w, unnest(lines) AS u(l)),
+texts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
+frequent AS (SELECT ln.host, norm FROM ln JOIN texts ON ln.host = texts.host WHERE norm <> '' GROUP BY ln.host, norm, texts.n HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > texts.n * 0.01),
+gone AS (SELECT ln.doc_id, sum(len(string_split(ln.norm, ' '))) AS n FROM ln JOIN frequent f ON ln.host = f.host AND ln.norm = f.norm GROUP BY ln.doc_id),
+s AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(list_filter(lines, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(lines, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words
+  FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id LEFT JOIN gone ON w.doc_id = gone.doc_id)
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words < n_words * 0.7 AS kept FROM s""",
+}
