@@ -6,7 +6,6 @@ import re
 
 from millrace.errors import EngineError
 from millrace.functions import fulltext
-from millrace.lexer import quote
 
 #: Functions that a session answers, by the name of the value.
 SESSION = {
@@ -187,10 +186,6 @@ FUNCTIONS |= {name: (lambda fn: lambda *a: f"millrace_{fn}({', '.join(a)})")(nam
 )}
 
 
-def regex_literal(pattern: str) -> str:
-    return quote(pattern)
-
-
 def _srid(g: str, srid: str | None = None) -> str:
     return f"millrace_st_srid({g})" if srid is None else f"millrace_st_srid_set({g}, {srid})"
 
