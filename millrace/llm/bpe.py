@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, shared_folder
+from millrace.llm.common import checkpointed, in_arrow, shared_folder
 
 SHARE = 1 << 19
 #: Merged words that a worker remembers, in each of two generations.
@@ -260,7 +260,7 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
                     held = Counter()
         yield pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], schema=schema)
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "chunk string, n long")
+    parts = docs.select(F.col("text").cast("string")).transform(in_arrow(run, "chunk string, n long"))
     return parts.groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
@@ -325,4 +325,4 @@ def _mapped(docs: DataFrame, tokenizer: str, share: int, schema: str, shape) ->
                 columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
                 yield pa.record_batch([part.column(0), *(pa.array(c, t) for c, t in zip(columns, arrow.types[1:], strict=True))], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(in_arrow(run, schema))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed
+from millrace.llm.common import checkpointed, in_arrow
 
 ROLES = ("system", "user", "assistant")
 SAMPLE, STRETCH = 20_000, 1024
@@ -195,11 +195,11 @@ def recover_roles(turns: DataFrame, model: RoleModel, stretch: int = STRETCH) ->
             roles = shared.value.decoded([r[4] for r in group], group[0][5], group[0][6])
             yield from ((r[0], r[2], r[3], ROLES[i]) for r, i in zip(group, roles, strict=True))
 
-    matrices = ordered(rows).select("conv_id", "part", "symbol").mapInArrow(_grouped(2, reduce, ("conv_id", pa.int64()), ("part", pa.int64()), ("begin", pa.list_(pa.float64())), ("inner", pa.list_(pa.float64()))), "conv_id long, part long, begin array<double>, inner array<double>")
-    bounds = checkpointed(matrices.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(_grouped(1, join, ("conv_id", pa.int64()), ("part", pa.int64()), ("before", pa.int32()), ("at_end", pa.int32())), "conv_id long, part long, before int, at_end int"))
+    matrices = ordered(rows).select("conv_id", "part", "symbol").transform(in_arrow(_grouped(2, reduce, ("conv_id", pa.int64()), ("part", pa.int64()), ("begin", pa.list_(pa.float64())), ("inner", pa.list_(pa.float64()))), "conv_id long, part long, begin array<double>, inner array<double>"))
+    bounds = checkpointed(matrices.repartition("conv_id").sortWithinPartitions("conv_id", "part").transform(in_arrow(_grouped(1, join, ("conv_id", pa.int64()), ("part", pa.int64()), ("before", pa.int32()), ("at_end", pa.int32())), "conv_id long, part long, before int, at_end int")))
     bounds = bounds.withColumnRenamed("conv_id", "__conv").withColumnRenamed("part", "__part")
     told = rows.join(bounds, rows["conv_id"].eqNullSafe(bounds["__conv"]) & (rows["part"] == bounds["__part"]))
-    return ordered(told).select("conv_id", "part", "turn", "text", "symbol", "before", "at_end").mapInArrow(_grouped(2, decode, ("conv_id", pa.int64()), ("turn", pa.int64()), ("text", pa.string()), ("role", pa.string())), "conv_id long, turn long, text string, role string")
+    return ordered(told).select("conv_id", "part", "turn", "text", "symbol", "before", "at_end").transform(in_arrow(_grouped(2, decode, ("conv_id", pa.int64()), ("turn", pa.int64()), ("text", pa.string()), ("role", pa.string())), "conv_id long, turn long, text string, role string"))
 
 
 def rendered(role: Column, text: Column) -> Column:

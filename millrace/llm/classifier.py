@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import in_arrow
+
 SAMPLE, DIMENSIONS, NEIGHBOURS, POWER = 6000, 64, 15, 8
 #: Buckets of shapes (the first one is for repeats) and of words.
 SHAPES, WORDS = 512, 1536
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NeighbourVo
             yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], names=["quality", "packed"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(ids), "doc_id").select("quality", "text").mapInArrow(run, "quality int, packed binary").collect()
+    rows = rows.join(F.broadcast(ids), "doc_id").select("quality", "text").transform(in_arrow(run, "quality int, packed binary")).collect()
     rows = sorted((r["quality"], bytes(r["packed"])) for r in rows)[: 4 * sample]  # more than sample only if doc_ids repeat
     counts = np.zeros((len(rows), SHAPES + WORDS), dtype=np.float32)
     for i, (_, packed) in enumerate(rows):
@@ -149,4 +151,4 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.transform(in_arrow(run, "doc_id long, held_out boolean, score double, predicted int"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids up to this many may be broadcast (16 MB of longs); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of text in a batch to Python.
+ARROW_ROWS = 1000
 #: ASCII white space between words; a word is a longest run of anything else.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -31,6 +37,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_arrow(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> Callable[[DataFrame], DataFrame]:
+    """For ``DataFrame.transform``: mapInArrow with small batches, as texts are large rows.
+
+    Batch size is a setting of the session, read when the query runs. At the end of a task its
+    worker hands freed memory back, as it may wait for long.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    def apply(df: DataFrame) -> DataFrame:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        return df.mapInArrow(whole, schema)
+
+    return apply
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

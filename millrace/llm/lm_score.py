@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, shared_folder
+from millrace.llm.common import checkpointed, in_arrow, shared_folder
 
 DEPTH, NODES, FINEST, SHARE = 5, 32_768, 1 << 17, 1 << 19
 END = 255
@@ -70,7 +70,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     held = Counter()
         yield told(held)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).transform(in_arrow(run, "word binary, n long")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _padded(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         if parts:
             yield pa.record_batch([pa.array(x) for x in merged(parts)], schema=schema)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).transform(in_arrow(run, "gram long, n long")).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 # ---- model ----
@@ -329,7 +329,7 @@ def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, share: int =
                 yield pa.record_batch([*(pa.array(c, f.type) for c, f in zip(out, schema, strict=False)), tail], schema=schema)
 
     path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, upper double, score double, n_bytes long, rare array<struct<word: binary, tf: long>>").write.parquet(path)
+    rows.transform(in_arrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, upper double, score double, n_bytes long, rare array<struct<word: binary, tf: long>>")).write.parquet(path)
     scored = spark.read.parquet(path)
     rare = scored.select("key", F.explode("rare").alias("r")).select("key", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
     rest = counts.filter(F.col("n") * share < tokens)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_IDS, checkpointed, is_empty, only_ids, shared_folder
+from millrace.llm.common import BROADCAST_IDS, checkpointed, in_arrow, is_empty, only_ids, shared_folder
 from millrace.llm.components import connected_components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
@@ -190,7 +190,7 @@ def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
         _memo.clear()  # the worker may serve other operators next
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "key long, doc_id long, f1 long, f2 long, words long, signature binary")
+    return rows.transform(in_arrow(run, "key long, doc_id long, f1 long, f2 long, words long, signature binary"))
 
 
 def _band_rows(signed: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def _band_rows(signed: DataFrame) -> DataFrame:
         if held:
             yield stars(keys, values)
 
-    return signed.select("key", "signature").mapInArrow(run, "band long, key long, lead long")
+    return signed.select("key", "signature").transform(in_arrow(run, "band long, key long, lead long"))
 
 
 def candidate_links(signed: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def _verified(members: DataFrame, threshold: float, tolerance: float) -> DataFra
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     spread = spread.select("root", "i", "j", "key", "block", "copies", "signature", "shingles")
-    return spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "key long, docs long, texts long, to long")
+    return spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").transform(in_arrow(run, "key long, docs long, texts long, to long"))
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, size: int, bound: int) -> DataFrame:
@@ -311,7 +311,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, size: int, bound: int) ->
     if members.count() <= bound:
         side = F.broadcast(side)
     rows = texts.join(side, texts["doc_id"].eqNullSafe(side["__id"])).select(*[F.col(n).cast("long") for n in names], "f1", "f2", "text")
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", signature binary, shingles binary")
+    return rows.transform(in_arrow(run, ", ".join(f"{n} long" for n in names) + ", signature binary, shingles binary"))
 
 
 def similarity_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = BLOCK_DOCS, block_words: int = BLOCK_WORDS, bound: int = BROADCAST_MEMBERS) -> DataFrame:

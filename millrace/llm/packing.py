@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed
+from millrace.llm.common import checkpointed, in_arrow
 
 CAPACITY, END_ID = 4096, 1
 #: Chunks whose ids a worker remembers; about 65 MB for each of two generations.
@@ -131,7 +131,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.transform(in_arrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long"))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -238,4 +238,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
             yield pa.record_batch([*b.columns[:5], pa.array(r[:, 4] + at // r[:, 3]), pa.array(r[:, 5] + at % r[:, 3] * length)], schema=schema)
 
     rows = ranked(pieces, counts).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return rows.transform(in_arrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, shared_folder
+from millrace.llm.common import checkpointed, in_arrow, shared_folder
 
 MIN_WORDS = 20
 _UPPER, _LOWER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĮİĶĹĽŁŃŅŇŐŒŘŚŞŠŤŪŮŰŲŹŻŽΑ-ΩА-Я", "a-zß-öø-ÿāăąćčďđēęěğģīįıķĺľłńņňőœřśşšťūůűųźżžα-ωа-я"
@@ -76,7 +76,7 @@ def _all_windows(docs: DataFrame, min_words: int) -> DataFrame:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(values, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "key long, doc_id long, start int, end int, h1 long, h2 long, first_here boolean")
+    return rows.transform(in_arrow(run, "key long, doc_id long, start int, end int, h1 long, h2 long, first_here boolean"))
 
 
 def removed_spans(marks: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
@@ -133,7 +133,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         column.append(value)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return marks.select("doc_id", "marks").mapInArrow(run, "doc_id long, spans array<struct<start: int, end: int>>, removed_chars long, first_docs array<long>")
+    return marks.select("doc_id", "marks").transform(in_arrow(run, "doc_id long, spans array<struct<start: int, end: int>>, removed_chars long, first_docs array<long>"))
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
