@@ -91,15 +91,33 @@ class Writer:
         df = coerced(t, df)
         for c in t.stored:
             if c.auto_increment:
-                # Ids are given by one sorted pass over the batch: an explicit larger value bumps those after it.
-                value = F.when(F.col(c.name) == 0, None).otherwise(F.col(c.name))
-                order = Window.orderBy("__i")
-                n = F.sum(value.isNull().cast("long")).over(order)
-                bump = F.max(value + 1 - F.coalesce(n, F.lit(0))).over(order)
-                start = F.greatest(F.lit(t.auto_next), F.coalesce(bump, F.lit(t.auto_next)))
-                df = df.withColumn(c.name, F.coalesce(value, start + n - 1).cast(c.spark_type))
+                df = self._numbered(df, c.name, c.spark_type) if c.name not in given else self._bumped(df, c.name, c.spark_type)
         return df.select("__i", *[F.col(f"`{c.name}`") for c in t.stored])
 
+    def _numbered(self, df: DataFrame, name: str, kind: str) -> DataFrame:
+        """``name`` counted from the table's next id in the order of __i, whose upper bits are a partition's number.
+
+        Only the row count of each partition comes to the driver, so an INSERT … SELECT of any size stays dealt out.
+        """
+        part, place = F.shiftright("__i", 33), F.col("__i").bitwiseAND((1 << 33) - 1)
+        counts = df.groupBy(part.alias("p")).agg((F.max(place) + 1).alias("n")).collect()
+        start, starts = self.t.auto_next, []
+        for r in sorted(counts, key=lambda r: r["p"]):
+            starts.append((r["p"], start))
+            start += r["n"]
+        offsets = self.spark.createDataFrame(starts, "__p long, __start long")
+        df = df.withColumn("__p", part).join(F.broadcast(offsets), "__p")
+        return df.withColumn(name, (F.col("__start") + place).cast(kind)).drop("__p", "__start")
+
+    def _bumped(self, df: DataFrame, name: str, kind: str) -> DataFrame:
+        """Given ids stay, and a larger one bumps those counted after it; so the batch is read in order, in one task."""
+        value = F.when(F.col(name) == 0, None).otherwise(F.col(name))
+        order = Window.orderBy("__i")
+        n = F.sum(value.isNull().cast("long")).over(order)
+        bump = F.max(value + 1 - F.coalesce(n, F.lit(0))).over(order)
+        start = F.greatest(F.lit(self.t.auto_next), F.coalesce(bump, F.lit(self.t.auto_next)))
+        return df.withColumn(name, F.coalesce(value, start + n - 1).cast(kind))
+
     def _bump(self, df: DataFrame, generated: bool) -> None:
         auto = next((c.name for c in self.t.stored if c.auto_increment), None)
         if auto:
