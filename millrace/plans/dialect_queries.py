@@ -72,3 +72,9 @@ def fulltext_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_by_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([(w,) for w in ("straße", "Strasse", "éclair", "Eclair", "zebra", "Äpfel", "apfel")], "w string")
     return words.select("w", collation.sort_key(F.col("w")).alias("key")).orderBy(F.expr("w COLLATE UNICODE_CI_AI"), "w")
+
+
+# What they give depends on time, chance or the session, so rows alone are compared.
+mysql_query("fn_now", "SELECT n_nationkey, NOW() AS now_at, CURDATE() AS today FROM nation")
+mysql_query("fn_uuid", "SELECT n_nationkey, UUID() AS id FROM nation")
+mysql_query("fn_session_info", "SELECT DATABASE() AS db, CURRENT_USER() AS who, VERSION() AS v, CONNECTION_ID() AS c, LAST_INSERT_ID() AS l, ROW_COUNT() AS r")

@@ -183,3 +183,17 @@ def test_change_stream_and_replica(spark, tmp_path):
     assert sorted(map(tuple, replica.state().collect())) == [(2, "c")] and log.last == 3
     assert gtid_set("u", [1, 2, 3, 5]) == "u:1-3:5" and follow(spark, log.path).isStreaming
     assert applied(replica.state(), spark.read.parquet(log.path), "id int, v string", ["id"]).count() == 1
+
+
+def test_advisory_locks(spark, s, tmp_path):
+    other = Session(spark, f"file://{tmp_path}/other")
+    assert got(s, "SELECT GET_LOCK('a', 0), IS_FREE_LOCK('a'), GET_LOCK('a', 0)") == [(1, 0, 1)]
+    assert got(other, "SELECT GET_LOCK('a', 0), RELEASE_LOCK('a'), RELEASE_LOCK('none')") == [(0, 0, None)]
+    assert got(s, "SELECT RELEASE_LOCK('a'), RELEASE_LOCK('a'), IS_USED_LOCK('a')") == [(1, 1, None)]
+
+
+def test_auto_increment_of_whole_queries(s):
+    s.sql("CREATE TABLE src (v INT); INSERT INTO src VALUES (1), (2), (3), (4); CREATE TABLE t (id INT PRIMARY KEY AUTO_INCREMENT, v INT); INSERT INTO t (v) SELECT v FROM src")
+    assert sorted(r[0] for r in got(s, "SELECT id FROM t")) == [1, 2, 3, 4]
+    s.sql("INSERT INTO t VALUES (10, 0), (NULL, 1), (5, 2), (NULL, 3)")
+    assert [r[0] for r in got(s, "SELECT id FROM t WHERE id > 4 ORDER BY id")] == [5, 10, 11, 12]
