@@ -85,7 +85,8 @@ def removed_spans(marks: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     def union(parts):
         out: list[list[int]] = []
         for a, b in sorted(parts):
-            if out and a <= out[-1][1]:
+            # Between windows a gap this short is white space: a unit has white space on both sides.
+            if out and a <= out[-1][1] + 2:
                 out[-1][1] = max(out[-1][1], b)
             else:
                 out.append([a, b])
