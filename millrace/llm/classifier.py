@@ -128,8 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NeighbourVo
             yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], names=["quality", "packed"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(ids), "doc_id").select("quality", "text").transform(in_arrow(run, "quality int, packed binary")).collect()
-    rows = sorted((r["quality"], bytes(r["packed"])) for r in rows)[: 4 * sample]  # more than sample only if doc_ids repeat
+    rows = rows.join(F.broadcast(ids), "doc_id").select("quality", "text").transform(in_arrow(run, "quality int, packed binary"))
+    rows = rows.limit(4 * sample).collect()  # more than sample only if doc_ids repeat
+    rows = sorted((r["quality"], bytes(r["packed"])) for r in rows)
     counts = np.zeros((len(rows), SHAPES + WORDS), dtype=np.float32)
     for i, (_, packed) in enumerate(rows):
         at, n = np.frombuffer(packed, dtype=np.int32).reshape(2, -1)
