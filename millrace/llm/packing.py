@@ -38,8 +38,8 @@ CAPACITY, END_ID = 4096, 1
 MEMO = 300_000
 #: A full stop or comma between a letter or digit and white space is a word of its own.
 _STOP = re.compile(r"(?<=[^\W_])[.,](?=\s|$)")
-#: Python's white space that the tokenizer's pattern does not count as such.
-_ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: All letters below are Latin, Greek or phonetic ones that every Unicode version knows.
+_LATIN_END = "\u0250"
 
 
 class ChunkEncoder:
@@ -53,10 +53,14 @@ class ChunkEncoder:
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), memo
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # For lower-case Latin words: the same merges without the steps that leave such words as they are.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -65,14 +69,21 @@ class ChunkEncoder:
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of ``words``, which are of letters alone."""
+        """Ids of each of ``words``, which are of lower-case letters alone and in normal form."""
+        latin = [w for w in words if w.isascii() or max(w) < _LATIN_END]
+        known = dict(zip(latin, self._joined(latin, self.plain), strict=True))
+        others = [w for w in words if w not in known]
+        known.update(zip(others, self._joined(others, self.tokenizer), strict=True))
+        return [known[w] for w in words]
+
+    def _joined(self, words: list[str], tokenizer) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(words), 2000):
             some = words[i : i + 2000]
-            raw = self._encode([" ".join(some)])[0]
+            raw = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
             stops = (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1) * 4
             if len(stops) == len(some):
                 stops = stops.tolist()
@@ -85,8 +96,9 @@ class ChunkEncoder:
         """Chunks whose ids make up those of ``text``; None if it must be encoded as it is."""
         if not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text)):
             return None
-        if any(c in text for c in _ODD_SPACE) or any(t in (lower := text.lower()) for t in self.special):
-            return None
+        lower = text.lower()
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or any(t in lower for t in self.special):
+            return None  # white space to Python but not to the tokenizer's pattern, or a special token
         return _STOP.sub(r" \g<0>", lower).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
