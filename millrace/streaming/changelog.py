@@ -96,6 +96,17 @@ class Replica:
         self.spark, self.path, self.table, self.schema, self.key, self.root = spark, path, table, schema, key, root.rstrip("/")
         self.current: str | None = None
         self.seen = 0
+        self._resume()
+
+    def _resume(self) -> None:
+        """Take up the newest state that was written whole; its folder's name begins with its last transaction."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        whole = [p for p in found if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        if whole:
+            newest = max(whole, key=lambda p: p.getName())
+            self.current, self.seen = newest.toString(), int(newest.getName().split("-")[0])
 
     def state(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.current) if self.current else self.spark.createDataFrame([], self.schema)
@@ -104,7 +115,7 @@ class Replica:
         new = batch.filter((F.col("gtid") > self.seen) & (F.col("table") == self.table)).persist()
         top = new.agg(F.max("gtid")).first()[0]
         if top is not None:
-            path = f"{self.root}/{uuid.uuid4().hex}"
+            path = f"{self.root}/{top:020d}-{uuid.uuid4().hex}"
             applied(self.state(), new, self.schema, self.key).write.parquet(path)
             self.current, self.seen = path, top
         new.unpersist()

@@ -181,6 +181,8 @@ def test_change_stream_and_replica(spark, tmp_path):
     replica.catch_up(f"file://{tmp_path}/cp")
     replica.catch_up(f"file://{tmp_path}/cp")
     assert sorted(map(tuple, replica.state().collect())) == [(2, "c")] and log.last == 3
+    again = Replica(spark, log.path, "t", "id int, v string", ["id"], f"file://{tmp_path}/replica")
+    assert again.seen == 3 and sorted(map(tuple, again.state().collect())) == [(2, "c")]
     assert gtid_set("u", [1, 2, 3, 5]) == "u:1-3:5" and follow(spark, log.path).isStreaming
     assert applied(replica.state(), spark.read.parquet(log.path), "id int, v string", ["id"]).count() == 1
 
