@@ -3,9 +3,9 @@
 The corpus's frequent words are compiled, with their ids, into a minimal automaton: equal suffixes
 share states, and each transition adds a number so that the sum along a word is the word's place
 among all words, where its ids lie. The file is put into the shared folder, sent to the workers by
-Spark and memory-mapped there, so all workers of a machine share its pages. All different words of
-a batch walk the automaton together. A word that it lacks is merged by the tokenizer's merges,
-lowest rank first, leftmost first. The lexicon decides speed only: any lexicon gives the same ids.
+Spark and memory-mapped there, so all workers of a machine share its pages. The different words of
+a batch, but for those that the worker remembers, walk the automaton together. A word that it lacks
+is merged by the tokenizer's merges, lowest rank first, leftmost first. The lexicon decides speed only: any lexicon gives the same ids.
 
 A word is frequent from one in ``SHARE`` of all words up, so there are at most ``SHARE`` of them.
 
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpointed, in_arrow, shared_folder
 
 SHARE = 1 << 19
-#: Merged words that a worker remembers, in each of two generations.
-MEMO = 250_000
+#: Words that a worker remembers, in each of two generations.
+MEMO = 300_000
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -208,39 +208,40 @@ class Encoder:
 
     def __init__(self, tokenizer: str, lexicon: Lexicon, memo: int = MEMO):
         self.merger, self.lexicon, self.limit = Merger(tokenizer), lexicon, memo
-        self.by_place: dict[int, tuple[int, str, bytes]] = {}
-        self.merged: dict[str, tuple[int, str, bytes]] = {}
+        self.memo: dict[str, tuple[int, str, bytes]] = {}
         self.old: dict[str, tuple[int, str, bytes]] = {}
+        self.long: list[str] = []
 
     def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
         return len(ids), ",".join(map(str, ids)), b"".join([self.merger.bytes[i] for i in ids])
 
-    def table(self, words: list[str]) -> dict[str, tuple[int, str, bytes]]:
-        """(number of ids, ids, decoded bytes) for each of the different ``words``."""
-        raw = [w.encode("utf-8", "replace") for w in words]
-        out: dict[str, tuple[int, str, bytes]] = {}
-        special, by_place, merged, old = self.merger.special, self.by_place, self.merged, self.old
-        for word, data, place in zip(words, raw, self.lexicon.places(raw).tolist(), strict=True):
+    def table(self, words: set[str]) -> dict[str, tuple[int, str, bytes]]:
+        """(number of ids, ids, decoded bytes) for each of the different ``words``, and for others met before."""
+        if len(self.memo) > self.limit:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        missing = words.difference(memo)
+        memo.update((w, old[w]) for w in missing if w in old)
+        new = list(missing.difference(memo))
+        raw = [w.encode("utf-8", "replace") for w in new]
+        special = self.merger.special
+        for word, data, place in zip(new, raw, self.lexicon.places(raw).tolist(), strict=True):
+            if len(data) > 64:
+                self.long.append(word)
             if place >= 0:
-                found = by_place.get(place)
-                if found is None:
-                    found = by_place[place] = self._entry(self.lexicon.ids_of(place))
-            elif (found := merged.get(word)) is None:
-                if word in special:
-                    found = self._entry([special[word]])
-                else:
-                    found = old.get(word) or self._entry(self.merger.merge(data))
-                    if len(data) <= 64:
-                        merged[word] = found
-            out[word] = found
-        if len(merged) > self.limit:
-            self.merged, self.old = {}, merged
-        return out
+                memo[word] = self._entry(self.lexicon.ids_of(place))
+            else:
+                memo[word] = self._entry([special[word]] if word in special else self.merger.merge(data))
+        return memo
 
     def encode(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
         split = [self.merger.split(t) for t in texts]
-        known = self.table(list(set().union(*split)))
-        return [[known[w] for w in ws] for ws in split]
+        known = self.table(set().union(*split))
+        out = [[known[w] for w in ws] for ws in split]
+        for w in self.long:
+            known.pop(w, None)  # not worth their room
+        self.long.clear()
+        return out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
