@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Ids up to this many may be broadcast (16 MB of longs); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs of an id and a digest up to this many may be broadcast (about 25 MB); more are joined by a shuffle.
+BROADCAST_PAIRS = 250_000
 #: Rows of text in a batch to Python.
 ARROW_ROWS = 1000
 #: ASCII white space between words; a word is a longest run of anything else.
@@ -71,11 +73,29 @@ def with_small_side(small: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(small) if small.count() <= bound else small
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, how: str, bound: int = BROADCAST_IDS) -> DataFrame:
-    """``docs`` semi- or anti-joined on doc_id with ``ids`` (one column doc_id), which is counted first.
+def text_digest(text: Column) -> Column:
+    """SHA-256 of ``text``; a null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
-    Up to ``bound`` ids are broadcast so that the texts stay where they are; above it both sides
-    are shuffled on doc_id. A null doc_id matches a null doc_id.
+
+def kept_rows(docs: DataFrame, verdicts: DataFrame, bound: int = BROADCAST_PAIRS) -> DataFrame:
+    """``docs`` without the rows that ``verdicts`` (doc_id, text_digest, kept) drop, and one row for each kept pair.
+
+    A verdict holds for the rows of its doc_id and text, not for others of its doc_id; a null doc_id
+    is an id like others. Rows without a verdict stay. Of rows that repeat with one doc_id and one
+    text the one whose columns sort first stays. Up to ``bound`` dropped pairs are broadcast so that
+    the texts stay where they are; above it both sides are shuffled.
     """
-    right = with_small_side(ids.select(F.col("doc_id").alias("__id")), bound)
-    return docs.join(right, docs["doc_id"].eqNullSafe(right["__id"]), how)
+
+    def joined(pairs: DataFrame, how: str) -> DataFrame:
+        right = with_small_side(pairs.select(F.col("doc_id").alias("__id"), F.col("text_digest").alias("__digest")), bound)
+        return docs.join(right, docs["doc_id"].eqNullSafe(right["__id"]) & (text_digest(docs["text"]) == right["__digest"]), how)
+
+    pairs = ["doc_id", "text_digest"]
+    dropped = checkpointed(verdicts.filter("not kept").select(*pairs).distinct())
+    repeated = checkpointed(verdicts.filter("kept").groupBy(*pairs).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*pairs))
+    if is_empty(repeated):
+        return docs if is_empty(dropped) else joined(dropped, "left_anti")
+    once = joined(dropped.unionByName(repeated), "left_anti")
+    one = joined(repeated, "left_semi").groupBy("doc_id", text_digest(F.col("text")).alias("__digest")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return once.unionByName(one.select("__row.*"))

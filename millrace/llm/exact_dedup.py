@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_IDS, checkpointed, is_empty, only_ids, with_small_side
+from millrace.llm.common import BROADCAST_PAIRS, checkpointed, is_empty, kept_rows, with_small_side
 
 #: Bytes in a block: larger than most texts, so that few of them need more than one level.
 BLOCK_BYTES = 16_384
@@ -86,7 +86,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint: Ca
     )
 
 
-def drop_copies(docs: DataFrame, bound: int = BROADCAST_IDS, **options) -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger doc_id has; all columns stay."""
-    dropped = checkpointed(exact_dedup(docs, **options).filter("not kept").select("doc_id"))
-    return only_ids(docs, dropped, "left_anti", bound)
+def drop_copies(docs: DataFrame, bound: int = BROADCAST_PAIRS, **options) -> DataFrame:
+    """One row of ``docs`` for each text, that of the largest doc_id; all columns stay."""
+    verdicts = exact_dedup(docs, **options).select("doc_id", F.unhex("text_sha256").alias("text_digest"), "kept")
+    return kept_rows(docs, checkpointed(verdicts), bound)

@@ -23,6 +23,7 @@ columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from functools import lru_cache
 from math import comb
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_IDS, checkpointed, in_arrow, is_empty, only_ids, shared_folder
+from millrace.llm.common import BROADCAST_PAIRS, checkpointed, in_arrow, kept_rows, shared_folder
 from millrace.llm.components import connected_components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
@@ -170,9 +171,12 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """(key, doc_id, f1, f2, words, signature) for each row: key is unique, f1 and f2 are a digest of its words."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("words", pa.int64()), ("signature", pa.binary())])
+def signatures(docs: DataFrame, size: int = WORDS, digests: bool = False) -> DataFrame:
+    """(key, doc_id, f1, f2, words, signature) for each row: key is unique, f1 and f2 are a digest of its words.
+
+    With ``digests`` also text_digest, the SHA-256 of its text as it stands.
+    """
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("words", pa.int64()), ("signature", pa.binary()), *[("text_digest", pa.binary())] * digests])
 
     def run(batches):
         key = TaskContext.get().partitionId() << 40
@@ -183,14 +187,17 @@ def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
                     words = words_of(text)
                     f = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), dtype=np.int64) if words else (None, None)
                     sig = signature(shingles(words, size)).tobytes() if words else None
-                    for column, value in zip(out, (key, doc_id, f[0], f[1], len(words), sig), strict=True):
+                    row = (key, doc_id, f[0], f[1], len(words), sig)
+                    if digests:
+                        row += (hashlib.sha256((text or "").encode("utf-8", "replace")).digest(),)
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
                     key += 1
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
         _memo.clear()  # the worker may serve other operators next
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.transform(in_arrow(run, "key long, doc_id long, f1 long, f2 long, words long, signature binary"))
+    return rows.transform(in_arrow(run, "key long, doc_id long, f1 long, f2 long, words long, signature binary" + ", text_digest binary" * digests))
 
 
 def _band_rows(signed: DataFrame) -> DataFrame:
@@ -314,15 +321,16 @@ def _member_sets(docs: DataFrame, members: DataFrame, size: int, bound: int) ->
     return rows.transform(in_arrow(run, ", ".join(f"{n} long" for n in names) + ", signature binary, shingles binary"))
 
 
-def similarity_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = BLOCK_DOCS, block_words: int = BLOCK_WORDS, bound: int = BROADCAST_MEMBERS) -> DataFrame:
-    """(doc_id, class_id, n_links, n_text_links, copies) for each row of ``docs``.
+def _classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = BLOCK_DOCS, block_words: int = BLOCK_WORDS, bound: int = BROADCAST_MEMBERS, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The ``signatures``, and (f1, f2, copies, class_id, docs, texts) for each different text of a word or more.
 
-    class_id is the least doc_id that links lead to; n_links counts the other rows at ``threshold`` or
-    above, copies included; n_text_links counts different texts; copies are the rows of the same words.
+    With ``digests`` also stays, the text_digest of the class's row with the least doc_id, and of those the least.
     """
-    rows = _stored(signatures(docs, size), "signatures")
+    rows = _stored(signatures(docs, size, digests), "signatures")
     full = rows.filter("words > 0")
-    classes = checkpointed(full.groupBy("f1", "f2").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    # False sorts before true, so a null doc_id comes last.
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_digest")).alias("first")] * digests
+    classes = checkpointed(full.groupBy("f1", "f2").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *first))
     first = full.select("key", "doc_id", "f1", "f2", "words", "signature").join(classes.select("key", "copies"), "key")
     links = candidate_links(first)
     labels = connected_components(links)
@@ -336,15 +344,27 @@ def similarity_classes(docs: DataFrame, size: int = WORDS, threshold: float = TH
     counts = found.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     told = classes.join(counts, "key", "left").join(near, "key", "left").withColumn("root", F.coalesce("root", "key"))
     told = checkpointed(told)
-    ids = told.groupBy("root").agg(F.min("least").alias("class_id"))
-    told = checkpointed(told.join(ids, "root").select("f1", "f2", "copies", "class_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("texts", F.lit(0)).alias("texts")))
+    ids = told.groupBy("root").agg(F.min("least").alias("class_id"), *[F.min("first").getField("text_digest").alias("stays")] * digests)
+    return rows, checkpointed(told.join(ids, "root").select("f1", "f2", "copies", "class_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("texts", F.lit(0)).alias("texts"), *["stays"] * digests))
+
+
+def similarity_classes(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, n_links, n_text_links, copies) for each row of ``docs``.
+
+    class_id is the least doc_id that links lead to; n_links counts the other rows at ``threshold`` or
+    above, copies included; n_text_links counts different texts; copies are the rows of the same words.
+    """
+    rows, told = _classes(docs, **options)
+    full = rows.filter("words > 0")
     out = full.select("doc_id", "f1", "f2").join(told, ["f1", "f2"])
     out = out.select("doc_id", "class_id", (F.col("docs") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_text_links"), "copies")
     lone = rows.filter("words = 0").select("doc_id", F.col("doc_id").alias("class_id"), *[F.lit(n).cast("long").alias(c) for n, c in ((0, "n_links"), (0, "n_text_links"), (1, "copies"))])
     return out.unionByName(lone)
 
 
-def drop_near_copies(docs: DataFrame, bound: int = BROADCAST_IDS, **options) -> DataFrame:
-    """``docs`` with one document of each class, that of the least doc_id; all columns stay."""
-    dropped = checkpointed(similarity_classes(docs, **options).filter("doc_id != class_id").select("doc_id"))
-    return docs if is_empty(dropped) else only_ids(docs, dropped, "left_anti", bound)
+def drop_near_copies(docs: DataFrame, bound: int = BROADCAST_PAIRS, **options) -> DataFrame:
+    """``docs`` with one row of each class, that of the least doc_id; texts without words and all columns stay."""
+    rows, told = _classes(docs, digests=True, **options)
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_digest") == F.col("stays"))
+    verdicts = rows.filter("words > 0").join(told, ["f1", "f2"]).select("doc_id", "text_digest", kept.alias("kept"))
+    return kept_rows(docs, checkpointed(verdicts), bound)

@@ -23,3 +23,20 @@ def test_stages_take_effect_and_each_works_on_what_the_last_one_kept(spark):
         held = out
     pieces = corpus_pipeline.run(spark, d)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in held.select("doc_id").collect()}
+
+
+def test_verdicts_are_those_of_rows_where_doc_ids_are_null_or_repeated(spark):
+    words = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    near = {k: w.replace(f"{k}59", "other") for k, w in words.items()}
+    rows = [(1, words["a"], "s"), (None, words["a"], "s"), (None, words["b"], "s"), (None, words["c"], "t"), (None, words["c"], "s"), (7, words["d"], "s"), (7, words["e"], "s"), (8, words["d"], "s"), (9, words["f"], "t"), (9, words["f"], "s"), (5, None, "s"), (5, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for bound in (0, 1000):
+        got = sorted(map(tuple, exact_dedup.drop_copies(docs, bound).collect()), key=str)
+        assert len(got) == 7 and {r for r in got if r[1]} == {(1, words["a"], "s"), (None, words["b"], "s"), (None, words["c"], "s"), (8, words["d"], "s"), (7, words["e"], "s"), (9, words["f"], "s")}
+    rows = [(1, words["a"], "s"), (None, near["a"], "s"), (None, words["b"], "s"), (None, near["b"], "s"), (None, words["c"], "s"), (4, words["d"], "s"), (7, near["d"], "s"), (7, words["e"], "s"), (7, near["e"], "s"), (9, words["f"], "t"), (9, words["f"], "s"), (None, "", "s"), (None, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for bound in (0, 1000):
+        got = sorted(map(tuple, ngram_join.drop_near_copies(docs, bound).collect()), key=str)
+        b, e = [r for r in got if r[1].startswith("b")], [r for r in got if r[1].startswith("e")]
+        assert len(b) == len(e) == 1 and b[0][0] is None and e[0][0] == 7
+        assert sorted((r for r in got if r not in b + e), key=str) == sorted([(1, words["a"], "s"), (None, words["c"], "s"), (4, words["d"], "s"), (9, words["f"], "s"), (None, "", "s"), (None, "", "s")], key=str)
