@@ -8,7 +8,8 @@ numbers, access keys and assigned secrets.
 
 Spans come from splitting a text at its matches: pieces and matches alternate, so running lengths
 give the places in code points. Patterns have possessive repeats and look-behinds, so a long run of
-one character class is read once. Everything stays in DataFrame functions and in the row.
+one character class is read once. Account numbers and short cards are the longest prefix of a run that
+holds the check and ends at a border, so what follows them (a BIC, a date) hides none. Everything stays in DataFrame functions and in the row.
 
 Cases: null text counts as empty; a text without a span has an empty list; overlapping spans of
 different kinds are all reported and masked together; repeated rows are reported each; an empty
@@ -37,6 +38,10 @@ class Kind:
     bonus: float = 0.5
     #: What a text must match at all for the kind to be looked for.
     hint: str = "[0-9]"
+    #: Characters that the pattern takes where its group 1 looks ahead over a run, and what a prefix of the run must match:
+    #: the span is the longest such prefix that ends at a border and holds the check.
+    taken: int = 0
+    prefix: str = ""
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
@@ -58,8 +63,8 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15", hint="[+]"),
 )
 MORE = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", f"length(regexp_replace(m, ' ', '')) <= 34 AND {_MOD97}"),
-    Kind("short_card", r"(?<![0-9.-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![0-9]|[\x20-][0-9])", f"{_LUHN}", 0.5, r"(?i)\b(?:card|visa|amex|mastercard|credit|debit|carte|karte|tarjeta)\b"),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", _MOD97, taken=4, prefix=r"^[A-Z0-9](?:\x20?[A-Z0-9]){14,33}$"),
+    Kind("short_card", r"(?<![0-9.-])(?=([0-9](?:[\x20-]?[0-9]){12,14}+[0-9]?))[0-9]", f"{_LUHN}", 0.5, r"(?i)\b(?:card|visa|amex|mastercard|credit|debit|carte|karte|tarjeta)\b", taken=1, prefix=r"^[0-9](?:[\x20-]?[0-9]){12,14}$"),
     Kind("national_id", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "true", 0.5, r"(?i)\b(?:ssn|social|security|tax|taxpayer|tin)\b"),
     Kind("local_phone", r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", "true", 0.5, r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|dial|ring|telefon|teléfono|téléphone)\b"),
     Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", hint="A[KS]IA"),
@@ -84,9 +89,17 @@ def _found(kind: Kind, text: str) -> str:
         s + length(x.m) AS at,
         CASE WHEN {kind.check.replace('(m', '(x.m').replace('m RLIKE', 'x.m RLIKE')} AND {accept}
              THEN array_append(acc.out, struct('{kind.name}' AS kind, s AS start, s + length(x.m) AS end)) ELSE acc.out END AS out))[0]"""
+    if kind.taken:
+        # A run may hold several spans, so it is not taken whole; what starts inside the span before is part of that.
+        prefixes = f"""filter(transform(sequence(length(x.m), 1, -1), k -> struct(k AS n, substring(x.m, 1, k) AS m, substring(x.m, k + 1, 1) AS next)),
+            y -> y.m RLIKE {_quoted(kind.prefix)} AND NOT y.next RLIKE '[A-Za-z0-9]' AND {kind.check.replace('(m', '(y.m')})"""
+        step = f"""(acc, x) -> transform(array(struct(acc.at + length(x.p) AS s, get({prefixes}, 0).n AS n)), b -> struct(
+        b.s + {kind.taken} AS at,
+        CASE WHEN b.n IS NOT NULL AND b.s >= coalesce(get(acc.out, size(acc.out) - 1).end, 0) AND {accept}
+             THEN array_append(acc.out, struct('{kind.name}' AS kind, b.s AS start, b.s + b.n AS end)) ELSE acc.out END AS out))[0]"""
     none = "CAST(array() AS ARRAY<STRUCT<kind: STRING, start: INT, end: INT>>)"
     return f"""CASE WHEN {text} RLIKE '{kind.hint}' THEN aggregate(
-      transform(array(regexp_extract_all({text}, {p}, 0)), a -> zip_with(slice(split({text}, {p}, -1), 1, size(a)), a, (p, m) -> struct(p AS p, m AS m)))[0],
+      transform(array(regexp_extract_all({text}, {p}, {1 if kind.taken else 0})), a -> zip_with(slice(split({text}, {p}, -1), 1, size(a)), a, (p, m) -> struct(p AS p, m AS m)))[0],
       struct(0 AS at, {none} AS out), {step}, acc -> acc.out) ELSE {none} END"""
 
 
