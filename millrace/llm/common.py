@@ -8,6 +8,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ BROADCAST_IDS = 1_000_000
 BROADCAST_PAIRS = 250_000
 #: Rows of text in a batch to Python.
 ARROW_ROWS = 1000
+#: Bytes in a batch to Python, and those of text that an operator takes at once.
+ARROW_BYTES, SLICE_BYTES = 16 << 20, 4 << 20
 #: ASCII white space between words; a word is a longest run of anything else.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -39,10 +42,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = ARROW_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in order in parts of at most ``rows`` rows whose texts have about ``size`` bytes; a larger text is a part of its own."""
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    first = held = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > first and (i - first == rows or held + n > size):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(first)
+
+
 def in_arrow(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> Callable[[DataFrame], DataFrame]:
-    """For ``DataFrame.transform``: mapInArrow with small batches, as texts are large rows.
+    """For ``DataFrame.transform``: mapInArrow with batches bounded in rows and bytes, as texts are large rows.
 
-    Batch size is a setting of the session, read when the query runs. At the end of a task its
+    Batch sizes are settings of the session, read when the query runs. At the end of a task its
     worker hands freed memory back, as it may wait for long.
     """
 
@@ -54,6 +70,7 @@ def in_arrow(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
     def apply(df: DataFrame) -> DataFrame:
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
         return df.mapInArrow(whole, schema)
 
     return apply

@@ -25,29 +25,43 @@ import re
 import unicodedata
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, in_arrow
+from millrace.llm.common import checkpointed, in_arrow, slices
 
 CAPACITY, END_ID = 4096, 1
-#: Chunks whose ids a worker remembers; about 65 MB for each of two generations.
-MEMO = 300_000
-#: A full stop or comma between a letter or digit and white space is a word of its own.
-_STOP = re.compile(r"(?<=[^\W_])[.,](?=\s|$)")
+#: Chunks whose ids a worker remembers; about 80 MB for each of two generations.
+MEMO = 400_000
 #: All letters below are Latin, Greek or phonetic ones that every Unicode version knows.
 _LATIN_END = "\u0250"
 
 
+def _of_kind(kind: str) -> str:
+    """The characters below ``_LATIN_END`` of a general category, for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(ord(_LATIN_END)) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: How the tokenizer cuts a chunk of such characters: endings after an apostrophe, letters, single digits, and the rest.
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of_kind('L')}]+|[{_of_kind('N')}]|[^{_of_kind('L')}{_of_kind('N')}]+")
+
+
+#: Kinds of bytes: 1 for ASCII letters and digits, 2 for ASCII marks, 3 for the apostrophe, else 0.
+_KIND = np.array([0 if not 32 < b < 127 else 1 if chr(b).isalnum() else 3 if b == 39 else 2 for b in range(256)], dtype=np.uint8)
+
+
 class ChunkEncoder:
     """Ids of whole texts by a tokenizer that lower-cases, drops white space and never looks across it.
 
-    A text is split at white space, and before a full stop or comma that ends a word; each different
-    chunk is encoded once and remembered. New chunks of letters alone, each of which is one word to
-    the tokenizer, are encoded together and told apart by the ids that end a word.
+    Texts are split at white space and where a mark begins or ends, and their chunks are numbered by
+    Arrow, so each different chunk of a batch is looked up once. A new chunk of letters alone is one word to the tokenizer: such words are
+    encoded together and told apart by the ids that end a word. Another chunk of Latin characters is
+    put together from its words, digits and marks; any other is encoded as it is.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -71,13 +85,13 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of ``words``, which are of lower-case letters alone and in normal form."""
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each of ``words``, which are of lower-case letters alone and in normal form, with its ids."""
         latin = [w for w in words if w.isascii() or max(w) < _LATIN_END]
-        known = dict(zip(latin, self._joined(latin, self.plain), strict=True))
-        others = [w for w in words if w not in known]
-        known.update(zip(others, self._joined(others, self.tokenizer), strict=True))
-        return [known[w] for w in words]
+        yield from zip(latin, self._joined(latin, self.plain), strict=True)
+        if len(latin) < len(words):
+            others = list(set(words).difference(latin))
+            yield from zip(others, self._joined(others, self.tokenizer), strict=True)
 
     def _joined(self, words: list[str], tokenizer) -> list[bytes]:
         out: list[bytes] = []
@@ -92,31 +106,64 @@ class ChunkEncoder:
                 out += self._encode(some)
         return out
 
-    def _chunks(self, text: str) -> list[str] | None:
-        """Chunks whose ids make up those of ``text``; None if it must be encoded as it is."""
+    def _whole(self, text: str, lower: str) -> bool:
+        """Whether a text must be encoded as it is, as lower-casing or a special token reaches across its chunks."""
         if not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text)):
-            return None
-        lower = text.lower()
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or any(t in lower for t in self.special):
-            return None  # white space to Python but not to the tokenizer's pattern, or a special token
-        return _STOP.sub(r" \g<0>", lower).split()
+            return True
+        return "<|" in lower and any(t in lower for t in self.special)
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of the different ``chunks``."""
+        if len(self.memo) > self.limit:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        missing = [c for c in chunks if c not in memo]
+        memo.update((c, old[c]) for c in missing if c in old)
+        missing = [c for c in missing if c not in memo]
+        words, rest = [c for c in missing if c.isalpha()], [c for c in missing if not c.isalpha()]
+        # Other chunks of Latin characters are made of words, digits and marks.
+        parts = {c: _CUT.findall(c) for c in rest if (c.isascii() or max(c) < _LATIN_END) and c.isprintable()}
+        new = {x for p in parts.values() for x in p}.difference(memo, words)
+        memo.update((x, old[x]) for x in new if x in old)
+        new.difference_update(memo)
+        memo.update(self._words(words + [x for x in new if x.isalpha()]))
+        single = [x for x in new if not x.isalpha()]
+        single += [c for c in rest if c not in parts]
+        memo.update(zip(single, self._encode(single), strict=True))
+        get = memo.__getitem__
+        memo.update((c, b"".join(map(get, p))) for c, p in parts.items())
+        return list(map(get, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [self._chunks(t) for t in texts]
-        memo = self.memo
-        if missing := set().union(*(c for c in split if c is not None)).difference(memo):
-            if len(memo) > self.limit:
-                self.old, self.memo = memo, {}
-                memo = self.memo
-                missing = set().union(*(c for c in split if c is not None))
-            old = self.old
-            memo.update((c, old[c]) for c in missing if c in old)
-            new = [c for c in missing if c not in memo]
-            words, others = [c for c in new if c.isalpha()], [c for c in new if not c.isalpha()]
-            memo.update(zip(words, self._words(words), strict=True))
-            memo.update(zip(others, self._encode(others), strict=True))
-        return [self._encode([t])[0] if c is None else b"".join([memo[x] for x in c]) for t, c in zip(texts, split, strict=True)]
+        lower = [t.lower() for t in texts]
+        whole = [i for i, (t, low) in enumerate(zip(texts, lower, strict=True)) if self._whole(t, low)]
+        for i in whole:
+            lower[i] = ""
+        split = pc.ascii_split_whitespace(_parted(pa.array(lower, pa.large_string())))
+        numbered = split.flatten().dictionary_encode()
+        # Text that begins or ends with white space has an empty chunk there, whose ids are none.
+        known = self._known(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(known, pa.large_binary()).take(numbered.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64, count=len(ids) + 1)[split.offsets.to_numpy()].tolist()
+        held = memoryview(data) if data else b""
+        out = [bytes(held[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        for i, raw in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = raw
+        return out
+
+
+def _parted(texts: pa.Array) -> pa.Array:
+    """``texts`` with a space wherever an ASCII letter or digit meets an ASCII mark, but for what follows an apostrophe."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64, count=len(texts) + 1)
+    data = np.frombuffer(data, dtype=np.uint8, count=int(offsets[-1])) if data else np.zeros(0, dtype=np.uint8)
+    kind = _KIND[data]
+    before, after = kind[:-1], kind[1:]
+    at = np.flatnonzero(((before == 1) & (after >= 2)) | ((before == 2) & (after == 1))) + 1
+    moved = offsets + np.searchsorted(at, offsets, side="right")
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(moved), pa.py_buffer(np.insert(data, at, 32))])
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -132,8 +179,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, ChunkEncoder(tokenizer))
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1):
                 for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     raw += end
                     for k in range(0, len(raw), size):
