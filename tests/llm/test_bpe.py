@@ -52,3 +52,21 @@ def test_query_like_the_library(docs, odd, none):
             assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
             assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     assert bpe.digests(odd, PATH).count() == odd.count() and bpe.digests(none, PATH).collect() == []
+
+
+def test_each_code_point_is_cut_as_the_library_cuts_it():
+    library, encoder = Tokenizer.from_file(PATH), bpe.Encoder(PATH, bpe.Lexicon(bpe.lexicon_for(["the", "ab"], PATH)))
+    points = [*range(1, 0xD800), *range(0xE000, 0x34000), *range(0x34000, 0x110000, 4099)]
+    for context in ("a{0}b 1{0}'s", "{0}'ll.{0}2  {0} {0}'{0}s\t{0}"):
+        for i in range(0, len(points), 4000):
+            texts = [context.format(chr(c)) for c in points[i : i + 4000]]
+            for text, row, ref in zip(texts, encoder.encode(texts), library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                assert row[0][1] == ",".join(map(str, ref.ids)), repr(text)
+
+
+def test_words_merged_together_are_those_merged_alone():
+    rnd, merger = random.Random(8), bpe.Merger(PATH)
+    words = [bytes(rnd.choices(b"etaoin shrdlu\xc3\xa9", k=rnd.randint(1, 130))) for _ in range(3000)] + [b"aaaaaaa", b"a"]
+    ids, sizes = merger.merge_all(words)
+    stops = sizes.cumsum().tolist()
+    assert [ids[a:b].tolist() for a, b in zip([0, *stops], stops, strict=False)] == [merger.merge(w) for w in words]

@@ -74,3 +74,13 @@ def test_packing_like_the_contract(docs, odd, none):
             assert at <= 512
         assert len(by_sequence) <= 1.1 * sum(r["length"] for r in rows) / 512 + 1
     assert packing.pack(odd, PATH).count() >= odd.count() and packing.pack(none, PATH).collect() == []
+
+
+def test_each_code_point_is_encoded_as_the_library_does():
+    library, own = Tokenizer.from_file(PATH), packing.ChunkEncoder(PATH)
+    points = [*range(1, 0xD800), *range(0xE000, 0x34000), *range(0x34000, 0x110000, 4099)]
+    for context in ("a{0}b 1{0}'s", "x{0}. {0}, ${0}a É{0}'ll.{0}2 {0}"):
+        for i in range(0, len(points), 4000):
+            texts = [context.format(chr(c)) for c in points[i : i + 4000]]
+            for text, raw, ref in zip(texts, own.encode(texts), library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                assert np.frombuffer(raw, dtype="<u4").tolist() == ref.ids, repr(text)
