@@ -5,15 +5,20 @@ which also fills the context before the first byte. Each byte is eight binary de
 for a context and the bits decided so far counts zeros and ones. Krichevsky-Trofimov estimates of
 all context depths are mixed: a node's weighted probability is half its own estimate's block
 probability and half the product of its children's. Counts are those of the training texts and stay
-fixed while texts are scored, so the mixture for (context, byte) is a table.
+fixed while texts are scored, so the mixture is one number for each gram (``depth`` context bytes and
+the byte that follows). A node that training never reached adds no estimate of its own.
 
-The tree's contexts are the ``NODES`` most frequent ones of all depths up to ``DEPTH`` (fewer where
-that would cut through a tie, or where they make up less than one in ``FINEST`` of all bytes), so the
-table's size is bounded whatever the corpus. Rarer contexts below a node share one more child of it.
-A node that training never reached adds no estimate of its own.
+The tree holds every context that occurs, so it grows with the corpus, and is a distributed table:
+1. Grams are counted; those of held-out texts alone take part with a count of zero.
+2. Grams that share their last ``TOP`` + 1 context bytes make up a subtree, which one task weights
+   from the deepest contexts up. Contexts of at most ``TOP`` bytes are weighted on the driver: UTF-8
+   has fewer than 40,000 pairs of bytes, and only those that occur count.
+3. Each subtree is mixed from there down, which gives the log probability of each gram.
+4. Texts are scored: grams of at least one in ``FREQUENT`` of all bytes (at most ``FREQUENT`` of them,
+   12 bytes each) from a broadcast table, all others by a shuffled join.
 
-Unigrams. A word of at least one in ``SHARE`` of all tokens (at most ``SHARE`` such words) is scored
-from a broadcast table; the others, none of which is frequent, by a shuffled join.
+Unigrams. A word of at most ``LONGEST`` bytes and of at least one in ``SHARE`` of all tokens (at most
+``SHARE`` such words) is scored from a broadcast table; the others by a shuffled join.
 
 Cases: null text counts as empty and is its end alone; rows with a null doc_id are training rows;
 repeated rows are scored each; without training texts all estimates are those of no counts; an empty
@@ -25,6 +30,8 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, in_arrow, shared_folder
+from millrace.llm.common import checkpointed, in_arrow, shared_folder, slices
 
-DEPTH, NODES, FINEST, SHARE = 5, 32_768, 1 << 17, 1 << 19
+DEPTH, TOP, FREQUENT = 5, 2, 1 << 22
+SHARE, LONGEST = 1 << 19, 64
 END = 255
 #: Bytes that one numpy pass takes.
 STEP = 1 << 20
-#: Nodes of the tree that are computed together.
-CHUNK = 512
+#: Grams of whole subtrees that are computed together.
+CHUNK = 300_000
 
 
 def held_out() -> Column:
@@ -94,42 +102,59 @@ def _groups(texts: list[bytes], step: int = STEP):
         yield held
 
 
+def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram at each place of the texts, and the place where each text begins among them."""
+    data, at = _padded(texts, depth)
+    gram = np.zeros(len(at), dtype=np.int64)
+    for back in range(depth, -1, -1):
+        gram = gram << 8 | data[at - back]
+    return gram, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of ``key`` in order, and the sum of ``n`` for each."""
+    if not len(key):
+        return key, n
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.add.reduceat(n, first)
+
+
 def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, n): how often each run of ``depth`` context bytes and a symbol occurs; a gram is a big-endian integer."""
+    """(gram, n): how often each run of ``depth`` context bytes and a symbol occurs in the texts that are not held_out.
+
+    A gram is a big-endian integer; grams of held-out texts alone have 0.
+    """
     if not 0 < depth <= 6:
         raise ValueError("depth must be 1 to 6")
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, ns = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, ns = keys[order], ns[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[first], np.add.reduceat(ns, first)
-
     def run(batches):
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         for batch in batches:
-            for texts in _groups([lower_bytes(t) for t in batch.column(0).to_pylist()]):
-                data, at = _padded(texts, depth)
-                key = np.zeros(len(at), dtype=np.int64)
-                for back in range(depth, -1, -1):
-                    key = key << 8 | data[at - back]
-                key.sort()
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                parts.append((key[first], np.diff(np.r_[first, len(key)])))
-                held += len(first)
-                if held > 2_000_000:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > 1_000_000:
-                        yield pa.record_batch([pa.array(x) for x in parts[0]], schema=schema)
-                        parts, held = [], 0
+            for part in slices(batch, 0):
+                raw = [lower_bytes(t) for t in part.column(0).to_pylist()]
+                apart = part.column(1).to_pylist()
+                for times in (1, 0):
+                    if not (texts := [t for t, h in zip(raw, apart, strict=True) if h != bool(times)]):
+                        continue
+                    gram, _ = _grams(texts, depth)
+                    gram.sort()
+                    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+                    parts.append((gram[first], np.diff(np.r_[first, len(gram)]) * times))
+                    held += len(first)
+            if held > 2_000_000:
+                parts = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+                held = len(parts[0][0])
+                if held > 1_000_000:
+                    yield pa.record_batch([pa.array(x) for x in parts[0]], schema=schema)
+                    parts, held = [], 0
         if parts:
-            yield pa.record_batch([pa.array(x) for x in merged(parts)], schema=schema)
+            yield pa.record_batch([pa.array(x) for x in _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))], schema=schema)
 
-    return docs.select(F.col("text").cast("string")).transform(in_arrow(run, "gram long, n long")).groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string"), "held_out").transform(in_arrow(run, "gram long, n long")).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 # ---- model ----
@@ -150,142 +175,214 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each of the nodes 1 to 255 (0 is unused) of the byte tree, from counts by symbol."""
-    heap = np.zeros((len(counts), 512))
-    heap[:, 256:] = counts
-    for low in (128, 64, 32, 16, 8, 4, 2, 1):
-        heap[:, low : 2 * low] = heap[:, 2 * low : 4 * low : 2] + heap[:, 2 * low + 1 : 4 * low : 2]
-    return heap[:, 0::2][:, :256], heap[:, 1::2][:, :256]
-
-
-class ContextTree:
-    """``child[node, byte]`` leads one byte further back, to len(child) - 1 where no context is kept; ``log10p[node, symbol]``."""
-
-    def __init__(self, child: np.ndarray, log10p: np.ndarray, depth: int):
-        self.child, self.log10p, self.depth = child, log10p, depth
-
-    @classmethod
-    def fit(cls, rows: np.ndarray, depth: int) -> ContextTree:
-        """``rows``: (context depth, context, symbol, count), with the last byte of a context lowest, for all kept contexts."""
-        levels = [np.zeros(1, dtype=np.int64)] + [np.unique(rows[rows[:, 0] == d, 1]) for d in range(1, depth + 1)]
-        starts = np.cumsum([0, *map(len, levels)])
-        total = int(starts[-1])
-        if total > 65_534:
-            raise ValueError("more contexts than 16-bit node numbers hold")
-
-        def counted(d: int) -> np.ndarray:
-            c, own = np.zeros((len(levels[d]), 256)), rows[rows[:, 0] == d]
-            np.add.at(c, (np.searchsorted(levels[d], own[:, 1]), own[:, 2]), own[:, 3])
-            return c
-
-        child = np.full((total + 1, 256), total, dtype=np.uint16)
-        parents = [np.zeros(0, dtype=np.int64)]
-        for d in range(1, depth + 1):
-            parent = np.searchsorted(levels[d - 1], levels[d] & ((1 << 8 * (d - 1)) - 1))
-            parents.append(parent)
-            child[starts[d - 1] + parent, levels[d] >> 8 * (d - 1)] = starts[d] + np.arange(len(levels[d]))
-        # From the deepest contexts up: how much of a node's weight is its own estimate's.
-        own_share: list[np.ndarray] = [np.ones(0)] * (depth + 1)
-        rest_kt: list[np.ndarray | None] = [None] * (depth + 1)
-        below = deeper = None
-        for d in range(depth, -1, -1):
-            counts = counted(d)
-            weighted, own_share[d], rest_kt[d] = np.empty((len(counts), 256)), np.ones((len(counts), 256), np.float32), np.full((len(counts), 256), -1.0, np.float32)
-            children = np.zeros((len(counts), 256))
-            if d < depth:
-                np.add.at(children, parents[d + 1], below)
-                rest = counts.copy()
-                np.subtract.at(rest, parents[d + 1], deeper)
-            for i in range(0, len(counts), CHUNK):
-                at = slice(i, i + CHUNK)
-                own = log_kt(*_bits(counts[at]))
-                if d == depth:
-                    weighted[at] = own
-                    continue
-                z, o = _bits(rest[at])
-                weighted[at] = np.logaddexp(own, children[at] + log_kt(z, o)) - math.log(2)
-                own_share[d][at] = np.exp(own - math.log(2) - weighted[at])
-                rest_kt[d][at] = np.where(z + o > 0, (o + 0.5) / (z + o + 1), -1.0)
-            below, deeper = weighted, counts
-        del below, deeper, weighted, children
-        # From the root down: the mixture of all nodes on the path.
-        log10p = np.zeros((total + 1, 256), dtype=np.float32)
-        kt = mixed = weight = None
-        for d in range(depth + 1):
-            counts, n = counted(d), len(levels[d])
-            new_kt = np.empty((n, 256), np.float32)
-            if d:
-                mixed, weight = (mixed + weight * own_share[d - 1] * kt)[parents[d]], (weight * (1 - own_share[d - 1]))[parents[d]]
-            else:
-                mixed, weight = np.zeros((1, 256), np.float32), np.ones((1, 256), np.float32)
-            for i in range(0, n, CHUNK):
-                at = slice(i, i + CHUNK)
-                zeros, ones = _bits(counts[at])
-                own = (ones + 0.5) / (zeros + ones + 1)
-                new_kt[at] = own if d == 0 else np.where(zeros + ones > 0, own, kt[parents[d][at]])
-                last = new_kt[at].astype(np.float64)
-                if d < depth:
-                    last = own_share[d][at] * last + (1 - own_share[d][at]) * np.where(rest_kt[d][at] >= 0, rest_kt[d][at], last)
-                one = np.clip(mixed[at] + weight[at] * last, 1e-9, 1 - 1e-9)
-                heap = np.zeros((len(one), 512))
-                for node in range(1, 256):
-                    heap[:, 2 * node] = heap[:, node] + np.log10(1 - one[:, node])
-                    heap[:, 2 * node + 1] = heap[:, node] + np.log10(one[:, node])
-                log10p[starts[d] + i : starts[d] + i + len(one)] = heap[:, 256:]
-            kt = new_kt
-        return cls(child, log10p, depth)
-
-    def symbols(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte at each place of ``at``, given those before it."""
-        none = len(self.child) - 1
-        child, table = self.child.reshape(-1), self.log10p.reshape(-1)
-        node = best = np.zeros(len(at), dtype=np.int32)
-        for back in range(1, self.depth + 1):
-            node = child.take((node << 8) + data[at - back]).astype(np.int32)
-            best = np.where(node == none, best, node)
-        return table.take((best << 8) + data[at])
-
-    def score(self, texts: list[bytes]) -> list[float]:
-        """log10 probability of each text and its end."""
-        out: list[float] = []
+def _last(depth: int) -> int:
+    """A mask for the last ``depth`` bytes."""
+    return (1 << 8 * depth) - 1
+
+
+class Level(NamedTuple):
+    """The nodes of one context depth: a key is the context and eight bits that tell the node of the byte's tree."""
+
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    up: np.ndarray  # place of the node of the context that is one byte shorter, in the level above
+
+
+def tree_levels(gram: np.ndarray, n: np.ndarray, low: int, depth: int) -> list[Level]:
+    """Levels ``low`` to ``depth`` of the contexts of ``gram``, for whole subtrees."""
+    out: list[Level] = []
+    for d in range(depth, low - 1, -1):
+        gram, n = _summed(gram & _last(d + 1), n)
+        context, symbol = gram >> 8 << 8, gram & 255
+        keys = np.concatenate([context | 1 << k | symbol >> (8 - k) for k in range(8)])
+        bit = np.concatenate([symbol >> (7 - k) & 1 for k in range(8)])
+        keys, at = np.unique(keys, return_inverse=True)
+        n8 = np.tile(n, 8).astype(np.float64)
+        ones = np.bincount(at, weights=n8 * bit, minlength=len(keys))
+        out.append(Level(keys, np.bincount(at, weights=n8, minlength=len(keys)) - ones, ones, np.zeros(0, dtype=np.int64)))
+    out.reverse()
+    return out[:1] + [level._replace(up=np.searchsorted(above.keys, _above(level.keys, low + i))) for i, (above, level) in enumerate(zip(out, out[1:], strict=False))]
+
+
+def _above(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The keys' nodes in contexts of the last ``depth`` bytes."""
+    return (keys >> 8 & _last(depth)) << 8 | keys & 255
+
+
+def weigh(levels: list[Level], below: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Log weighted probability of each node of the first level, and for each level the share that its own estimates have.
+
+    ``below``: the sums of the weighted children of the last level; None if that is the deepest.
+    """
+    shares: list[np.ndarray] = []
+    weighted = np.zeros(0)
+    for i in range(len(levels) - 1, -1, -1):
+        own = log_kt(levels[i].zeros, levels[i].ones)
+        if i + 1 < len(levels):
+            children = np.bincount(levels[i + 1].up, weights=weighted, minlength=len(own))
+        elif below is None:
+            weighted = own
+            shares.append(np.ones(len(own)))
+            continue
+        else:
+            children = below
+        weighted = np.logaddexp(own, children) - math.log(2)
+        shares.append(np.exp(own - math.log(2) - weighted))
+    return weighted, shares[::-1]
+
+
+class State(NamedTuple):
+    """What a node hands down: the mixture so far, the weight that is left, the share of it that it takes, and its estimate."""
+
+    mixed: np.ndarray
+    weight: np.ndarray
+    share: np.ndarray
+    kt: np.ndarray
+
+
+def descend(levels: list[Level], shares: list[np.ndarray], state: State | None) -> State:
+    """The state at the last level; ``state`` is that of the nodes above the first level's, None if that is the root's."""
+    for i, (level, share) in enumerate(zip(levels, shares, strict=True)):
+        n = level.zeros + level.ones
+        own = (level.ones + 0.5) / (n + 1)
+        if state is None:
+            state = State(np.zeros(len(own)), np.ones(len(own)), share, own)
+            continue
+        if i:
+            state = State(*(x[level.up] for x in state))
+        state = State(state.mixed + state.weight * state.share * state.kt, state.weight * (1 - state.share), share, np.where(n > 0, own, state.kt))
+    return state
+
+
+def gram_scores(gram: np.ndarray, level: Level, state: State) -> np.ndarray:
+    """log10 probability of the symbol of each gram after its context; ``level`` is the deepest one."""
+    one = np.clip(state.mixed + state.weight * state.kt, 1e-9, 1 - 1e-9)
+    log_one, log_zero = np.log10(one), np.log10(1 - one)
+    context, symbol = gram >> 8 << 8, gram & 255
+    out = np.zeros(len(gram))
+    for k in range(8):
+        at = np.searchsorted(level.keys, context | 1 << k | symbol >> (8 - k))
+        out += np.where(symbol >> (7 - k) & 1, log_one[at], log_zero[at])
+    return out
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch], root: int, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts of whole subtrees from batches in their order: those of one value of the last ``root`` context bytes are together."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size < chunk:
+            continue
+        gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        roots = gram >> 8 & _last(root)
+        cut = len(roots) - int((roots[::-1] != roots[-1]).argmax()) if roots[0] != roots[-1] else 0
+        if cut:
+            yield gram[:cut], n[:cut]
+        held, size = [(gram[cut:], n[cut:])], len(gram) - cut
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def gram_probabilities(grams: DataFrame, depth: int = DEPTH, top: int = TOP) -> DataFrame:
+    """(gram, n, p): the log10 probability of each gram of ``gram_counts`` in the tree of all of them."""
+    top = min(top, depth - 1)
+    spark = grams.sparkSession
+    whole = F.shiftright("gram", 8).bitwiseAND(_last(top + 1))
+    rooted = grams.repartition(whole).sortWithinPartitions(whole)
+
+    def up(batches):
+        for gram, n in _subtrees(batches, top + 1):
+            levels = tree_levels(gram, n, top + 1, depth)
+            weighted, _ = weigh(levels)
+            keys, at = np.unique(_above(levels[0].keys, top), return_inverse=True)
+            yield pa.record_batch([pa.array(keys), pa.array(np.bincount(at, weights=weighted, minlength=len(keys)))], names=["key", "w"])
+
+    # What comes to the driver: the contexts of ``top`` bytes with the bytes that follow them.
+    below = rooted.transform(in_arrow(up, "key long, w double")).groupBy("key").agg(F.sum("w").alias("w")).toArrow()
+    short = grams.groupBy(F.col("gram").bitwiseAND(_last(top + 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    levels = tree_levels(short.column(0).to_numpy().astype(np.int64), short.column(1).to_numpy().astype(np.int64), 0, top)
+    sums = np.zeros(len(levels[-1].keys))
+    sums[np.searchsorted(levels[-1].keys, below.column(0).to_numpy())] = below.column(1).to_numpy()
+    upper = spark.sparkContext.broadcast((levels[-1].keys, descend(levels, weigh(levels, sums)[1], None)))
+    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("p", pa.float32())])
+
+    def down(batches):
+        keys, state = upper.value
+        for gram, n in _subtrees(batches, top + 1):
+            own = tree_levels(gram, n, top + 1, depth)
+            at = np.searchsorted(keys, _above(own[0].keys, top))
+            last = descend(own, weigh(own)[1], State(*(x[at] for x in state)))
+            p = gram_scores(gram, own[-1], last).astype(np.float32)
+            yield pa.record_batch([pa.array(gram), pa.array(n), pa.array(p)], schema=schema)
+
+    return rooted.transform(in_arrow(down, "gram long, n long, p float"))
+
+
+class GramTable:
+    """Grams and their log probabilities in open addressing."""
+
+    _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, gram: np.ndarray, p: np.ndarray):
+        bits = max(4, math.ceil(math.log2(4 * len(gram) + 1)))
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.p = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.float32)
+        rest, slot = np.arange(len(gram)), self._slot(gram)
+        while len(rest):
+            free = np.flatnonzero(self.keys[slot] == -1)
+            taken = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[taken]], self.p[slot[taken]] = gram[rest[taken]], p[rest[taken]]
+            left = np.ones(len(rest), dtype=bool)
+            left[taken] = False
+            rest, slot = rest[left], slot[left] + 1 & self.mask
+
+    def _slot(self, gram: np.ndarray) -> np.ndarray:
+        return (gram.astype(np.uint64) * self._SPREAD >> self.shift).astype(np.int64)
+
+    def look_up(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log probability of each of ``gram``, 0 for those that the table lacks, and where these are."""
+        slot = self._slot(gram)
+        key = self.keys[slot]
+        out = self.p[slot]
+        open_ = np.flatnonzero(key != gram)
+        out[open_] = 0
+        missing = [open_[key[open_] == -1]]
+        open_ = open_[key[open_] != -1]
+        slot = slot[open_]
+        while len(open_):
+            slot = slot + 1 & self.mask
+            key = self.keys[slot]
+            hit = key == gram[open_]
+            out[open_[hit]] = self.p[slot[hit]]
+            missing.append(open_[key == -1])
+            on = ~hit & (key != -1)
+            open_, slot = open_[on], slot[on]
+        return out, np.sort(np.concatenate(missing))
+
+    def score(self, texts: list[bytes], depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """log10 probability of each text by the table's grams, and (text, gram, times) of the others."""
+        out, rest, before = [], [], 0
         for group in _groups(texts):
-            data, at = _padded(group, self.depth)
-            p = np.concatenate([self.symbols(data, at[i : i + STEP]) for i in range(0, len(at), STEP)])
-            first = np.cumsum([0, *(len(t) + 1 for t in group[:-1])])
-            out += np.add.reduceat(p, first, dtype=np.float64).tolist()
-        return out
-
-
-def fit_tree(grams: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> ContextTree:
-    """The tree of ``gram_counts``. At most ``nodes`` contexts, and up to 256 counts for each, come to the driver."""
-    # Counts of shorter contexts are sums of those of longer ones, so each depth reads the one before it.
-    level = checkpointed(grams)
-    total = level.agg(F.sum("n")).first()[0] or 0
-    parts = []
-    for d in range(depth, -1, -1):
-        parts.append(level.select(F.lit(d).alias("depth"), F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("symbol"), "n"))
-        if d:
-            level = checkpointed(level.groupBy(F.col("gram").bitwiseAND((1 << 8 * d) - 1).alias("gram")).agg(F.sum("n").alias("n")))
-    by_symbol = parts[0]
-    for part in parts[1:]:
-        by_symbol = by_symbol.unionByName(part)
-    contexts = checkpointed(by_symbol.groupBy("depth", "context").agg(F.sum("n").alias("of")).filter(F.col("of") * FINEST >= total))
-    # At most FINEST contexts a depth are left, so their different counts are few.
-    held, least = 0, total + 1
-    for of, n in sorted(((r["of"], r["n"]) for r in contexts.groupBy("of").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
-        if held + n > nodes:
-            break
-        held, least = held + n, of
-    kept = contexts.filter(F.col("of") >= least).drop("of")
-    found = by_symbol.join(F.broadcast(kept), ["depth", "context"]).select("depth", "context", "symbol", "n").toPandas()
-    return ContextTree.fit(found.to_numpy(dtype=np.int64).reshape(-1, 4), depth)
+            gram, first = _grams(group, depth)
+            parts = [self.look_up(gram[i : i + STEP]) for i in range(0, len(gram), STEP)]
+            out.append(np.add.reduceat(np.concatenate([p for p, _ in parts]), first, dtype=np.float64))
+            at = np.concatenate([m + i * STEP for i, (_, m) in enumerate(parts)])
+            text, other = np.searchsorted(first, at, side="right") - 1, gram[at]
+            order = np.lexsort((other, text))
+            text, other = text[order], other[order]
+            new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (other[1:] != other[:-1])]) if len(at) else at
+            rest.append((text[new] + before, other[new], np.diff(np.r_[new, len(at)])))
+            before += len(group)
+        return np.concatenate(out) if out else np.zeros(0), rest
 
 
 # ---- scores ----
 
 
-def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, share: int = SHARE) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, share: int = SHARE, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     train = rows.filter("not held_out")
@@ -294,47 +391,55 @@ def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, share: int =
     texts = train.count()
     tokens, kinds = stats["n"] + texts, stats["v"] + (1 if texts else 0)
     bottom = math.log10(tokens + kinds + 1)
-    frequent = counts.filter(F.col("n") * share >= tokens)
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast({bytes(r["word"]): math.log10(r["n"] + 1) for r in frequent.collect()})
-    tree = spark.sparkContext.broadcast(fit_tree(gram_counts(train, depth), depth, nodes))
+    often = (F.col("n") * share >= tokens) & (F.octet_length("word") <= LONGEST)
+    words = counts.filter(often).select("word", "n").toArrow()
+    table = spark.sparkContext.broadcast(dict(zip(words.column(0).to_pylist(), np.log10(words.column(1).to_numpy() + 1.0).tolist(), strict=True)))
+    probabilities = checkpointed(gram_probabilities(checkpointed(gram_counts(rows, depth)), depth))
+    total = probabilities.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    usual = (F.col("n") > 0) & (F.col("n") * frequent >= total)
+    grams = probabilities.filter(usual).select("gram", "p").toArrow()
+    held_grams = spark.sparkContext.broadcast((grams.column(0).to_numpy().astype(np.int64), grams.column(1).to_numpy().astype(np.float32)))
     end = math.log10(texts + 1)
-    schema = pa.schema([
-        ("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("upper", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()),
-        ("rare", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))),
-    ])
+    plain = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("upper", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())]
+    schema = pa.schema([*plain, ("rare", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("tf", pa.int32())])))])
 
     def run(batches):
-        top, model = table.value, tree.value
+        top, model = table.value, GramTable(*held_grams.value)
         key = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in slices(whole, 1, 500):
                 raw = [lower_bytes(t) for t in batch.column(1).to_pylist()]
-                out, rare_words, rare_counts = [[] for _ in schema], [], []
-                for doc_id, held, text, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), raw, model.score(raw), strict=True):
+                out, rare_words, rare_counts, sizes = [[] for _ in plain], [], [], []
+                p, rest = model.score(raw, depth)
+                for doc_id, held, text, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), raw, p.tolist(), strict=True):
                     words = text.split()
-                    values = [top.get(w) for w in words]
+                    values = list(map(top.get, words))
                     rare = Counter([w for w, v in zip(words, values, strict=True) if v is None])
                     found = [v for v in values if v is not None]
-                    known = len(found) + (1 if texts else 0)
-                    row = (key, doc_id, held, len(words) + 1, known, math.fsum(found) + end, p, len(text), len(rare))
+                    row = (key, doc_id, held, len(words) + 1, len(found) + (1 if texts else 0), math.fsum(found) + end, x, len(text))
                     rare_words += rare.keys()
                     rare_counts += rare.values()
+                    sizes.append(len(rare))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                     key += 1
                 tail = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["word", "tf"])
-                tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *out.pop()]), pa.int32()), tail)
-                yield pa.record_batch([*(pa.array(c, f.type) for c, f in zip(out, schema, strict=False)), tail], schema=schema)
+                tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), tail)
+                text_of, gram, times = (np.concatenate(c) for c in zip(*rest, strict=True))
+                other = pa.StructArray.from_arrays([pa.array(gram), pa.array(times.astype(np.int32))], names=["gram", "tf"])
+                other = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(text_of, minlength=len(raw)))], pa.int32()), other)
+                yield pa.record_batch([*(pa.array(c, f.type) for c, f in zip(out, schema, strict=False)), tail, other], schema=schema)
 
     path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
-    rows.transform(in_arrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, upper double, score double, n_bytes long, rare array<struct<word: binary, tf: long>>")).write.parquet(path)
+    kind = "key long, doc_id long, held_out boolean, n_tokens long, known long, upper double, score double, n_bytes long, rare array<struct<word: binary, tf: long>>, grams array<struct<gram: long, tf: int>>"
+    rows.transform(in_arrow(run, kind)).write.parquet(path)
     scored = spark.read.parquet(path)
     rare = scored.select("key", F.explode("rare").alias("r")).select("key", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
-    rest = counts.filter(F.col("n") * share < tokens)
-    rare = rare.join(rest, "word").groupBy("key").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("added"))
-    out = scored.drop("rare").join(rare, "key", "left")
+    rare = rare.join(counts.filter(~often), "word").groupBy("key").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("added"))
+    other = scored.select("key", F.explode("grams").alias("r")).select("key", F.col("r.gram").alias("gram"), F.col("r.tf").alias("tf"))
+    other = other.join(probabilities.filter(~usual).select("gram", "p"), "gram").groupBy("key").agg(F.sum(F.col("tf") * F.col("p").cast("double")).alias("rest"))
+    out = scored.drop("rare", "grams").join(rare, "key", "left").join(other, "key", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("upper") + F.coalesce("added", F.lit(0.0)) - F.col("n_tokens") * F.lit(bottom)).alias("base_score"),

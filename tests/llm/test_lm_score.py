@@ -54,35 +54,60 @@ def brute_tree(texts, depth):
     return probability
 
 
-def fit(texts, depth):
-    counts = Counter()
-    for t in texts:
-        data = b"\xff" * depth + t + b"\xff"
-        for i in range(depth, len(data)):
-            for d in range(depth + 1):
-                counts[d, int.from_bytes(data[i - d : i], "big"), data[i]] += 1
-    return lm.ContextTree.fit(np.array([(*k, n) for k, n in counts.items()], dtype=np.int64).reshape(-1, 4), depth)
+def counted(texts, depth, unseen=()):
+    """Grams in order with their counts, those of ``unseen`` texts with none."""
+    gram, n = zip(*[(g, np.full(len(g), k)) for k, some in ((1, texts), (0, unseen)) if some for g in [lm._grams(list(some), depth)[0]]], strict=True)
+    return lm._summed(np.concatenate(gram), np.concatenate(n))
+
 
+def local(texts, depth, unseen=()):
+    """log10 probability by gram, from the whole tree in one piece."""
+    gram, n = counted(texts, depth, unseen)
+    levels = lm.tree_levels(gram, n, 0, depth)
+    return dict(zip(gram.tolist(), lm.gram_scores(gram, levels[-1], lm.descend(levels, lm.weigh(levels)[1], None)).tolist(), strict=True))
 
-@pytest.mark.parametrize("depth", [1, 2])
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
 def test_tree_like_recursion(depth):
-    texts = [b"abab", b"aab ba", b"", b"ba"]
-    tree, want = fit(texts, depth), brute_tree(texts, depth)
-    for text in (b"ab", b"aabb", b"", b"zb a"):
+    texts, unseen = [b"abab", b"aab ba", b"", b"ba"], [b"ab", b"aabb", b"", b"zb a"]
+    tree, want = local(texts, depth, unseen), brute_tree(texts, depth)
+    for text in unseen:
         data = b"\xff" * depth + text + b"\xff"
-        exact = sum(want(data[i - depth : i], data[i]) for i in range(depth, len(data)))
-        assert tree.score([text])[0] == pytest.approx(exact, abs=1e-4)
+        for i in range(depth, len(data)):
+            assert tree[int.from_bytes(data[i - depth : i + 1], "big")] == pytest.approx(want(data[i - depth : i], data[i]), abs=1e-9)
 
 
 def test_probabilities_sum_to_one():
-    tree = fit([b"the cat", b"the dog", b"a cat"], 3)
-    assert np.allclose((10.0 ** tree.log10p[:-1].astype(np.float64)).sum(axis=1), 1, atol=1e-4)
-
-
-def test_texts_are_scored_alike_alone_and_together():
-    tree = fit([b"the cat", b"the dog"], 3)
-    texts = [b"the", b"", b"cat dog" * 50]
-    assert tree.score(texts) == pytest.approx([tree.score([t])[0] for t in texts], abs=1e-3)
+    texts = [b"the cat", b"the dog", b"a cat"]
+    alike = local(texts, 3, [b"the", *(b"the" + bytes([x]) for x in range(255))])
+    assert sum(10 ** p for g, p in alike.items() if g >> 8 == int.from_bytes(b"the", "big")) == pytest.approx(1, abs=1e-6)
+
+
+@pytest.mark.parametrize("depth,chunk", [(1, 300_000), (3, 50), (5, 2000)])
+def test_subtrees_give_the_tree_in_one_piece(spark, monkeypatch, depth, chunk):
+    monkeypatch.setattr(lm._subtrees, "__defaults__", (chunk,))
+    texts = [f"Some text {k} of {k * k} words, {'abc' * (k % 4)} é ".encode().lower() * (1 + k % 3) for k in range(40)]
+    gram, n = counted(texts[:30], depth, texts[30:])
+    rows = spark.createDataFrame([(int(g), int(k)) for g, k in zip(gram, n, strict=True)], "gram long, n long").repartition(3)
+    got = {r["gram"]: r["p"] for r in lm.gram_probabilities(rows, depth).collect()}
+    assert got == pytest.approx(local(texts[:30], depth, texts[30:]), abs=1e-5)
+
+
+def test_table_finds_its_grams_and_no_others():
+    rng = np.random.default_rng(3)
+    gram = np.unique(rng.integers(0, 1 << 40, 5000))
+    table = lm.GramTable(gram[::2], np.arange(len(gram[::2]), dtype=np.float32) + 1)
+    p, missing = table.look_up(gram)
+    assert p[::2].tolist() == list(range(1, len(gram[::2]) + 1)) and missing.tolist() == list(range(1, len(gram), 2)) and not p[1::2].any()
+    assert lm.GramTable(gram[:0], np.zeros(0, np.float32)).look_up(gram)[1].tolist() == list(range(len(gram)))
+
+
+@pytest.mark.parametrize("frequent", [1, 1 << 10, 1 << 40])
+def test_scores_are_sums_over_all_grams(docs, frequent):
+    texts = {r["doc_id"]: (lm.lower_bytes(r["text"]), zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in docs.collect()}
+    tree = local([t for t, held in texts.values() if not held], 3, [t for t, held in texts.values() if held])
+    for r in lm.score(docs, depth=3, frequent=frequent).collect():
+        assert r["score"] == pytest.approx(sum(tree[g] for g in lm._grams([texts[r["doc_id"]][0]], 3)[0].tolist()), rel=1e-5)
 
 
 def check_base(table, **options):
