@@ -4,9 +4,9 @@ The units of a text are
 * its lines of ``MIN_LINE`` words or more,
 * its paragraphs (lines between empty ones) of two lines or more that have as many words,
 * windows of ``WINDOW`` words and a few more, for passages that begin or end inside a line. A window
-  begins at the best of ``SPAN`` neighbouring words (winnowing), and ends at the best of the ``SPAN``
-  words after its least length. Best is one where a sentence begins or ends, then one of the least
-  hash. That depends on the words there alone, so two texts that share ``WINDOW`` + 2 * ``SPAN`` + 1
+  begins at the best of ``SPAN`` neighbouring words (winnowing), and ends at the best of the ``SLACK``
+  words from its least length on. Best is one where a sentence begins or ends, then one of the least
+  hash. That depends on the words there alone, so two texts that share ``WINDOW`` + ``SPAN`` + ``SLACK``
   words in a row share a window, whatever stands around them and without any punctuation. Of a shared
   passage, up to some ``SPAN`` words at an end that is none of a sentence can stay.
 
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpointed, in_arrow, shared_folder, slices
 
-MIN_LINE, WINDOW, SPAN = 20, 20, 10
+MIN_LINE, WINDOW, SPAN, SLACK = 20, 20, 16, 8
 #: Kinds of units: lines and paragraphs, or windows; ``AGAIN`` is added for a repeat in its own text.
 LINE, PART, AGAIN = 0, 1, 2
 _U = np.uint64
@@ -169,7 +169,7 @@ class Words:
         a = np.unique(chosen[chosen >= 0])
         # A window ends at the best of the next words: where a sentence ends, or else at the least hash.
         value = (self.hash >> _U(1)) | np.where(self.stops, _U(0), _U(1 << 63))
-        last = a[:, None] + size - 1 + np.arange(span)
+        last = a[:, None] + size - 1 + np.arange(SLACK)
         stop = self.of_text[1:][text[a]][:, None]
         return a, a + size + np.where(last < stop, value[np.minimum(last, n - 1)], ~_U(0)).argmin(axis=1)
 

@@ -100,7 +100,7 @@ def test_each_run_of_shared_words_is_found_without_punctuation(spark):
     word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randint(2, 7)))
     rows, runs = [], {}
     for k in range(30):
-        run = " ".join(word() for _ in range(sd.WINDOW + 2 * sd.SPAN + 1))
+        run = " ".join(word() for _ in range(sd.WINDOW + sd.SPAN + sd.SLACK))
         for i in (2 * k, 2 * k + 1):
             before = " ".join(word() for _ in range(rnd.randint(0, 40)))
             rows.append((i, f"{before} {run} " + " ".join(word() for _ in range(rnd.randint(0, 40)))))
