@@ -7,8 +7,9 @@ labelled texts are reduced to ``DIMENSIONS`` latent dimensions. The labelled vec
 ``SAMPLE`` x ``DIMENSIONS`` floats) are broadcast; every text is compared with all of them in exact
 blocked products, and its ``NEIGHBOURS`` nearest vote, weighted by a power of their cosine.
 
-The sample are the labelled rows with the least hash of doc_id, so it does not depend on the order
-of rows. It bounds the fit alone; every text is scored whole.
+The sample are the different labels with the least hash of doc_id, each with one text (of rows that
+repeat a doc_id, that of the least terms), so it does not depend on the order of rows. It bounds the
+fit alone; every text is scored whole.
 
 Cases: a text without terms, and any text where no neighbour is similar, gets the share of label 1
 in the sample, or 0.5 without labels; labels other than 0 and 1 are ignored; rows with a null doc_id
@@ -25,14 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import in_arrow
+from millrace.llm.common import in_arrow, slices
 
 SAMPLE, DIMENSIONS, NEIGHBOURS, POWER = 6000, 64, 15, 8
 #: Buckets of shapes (the first one is for repeats) and of words.
 SHAPES, WORDS = 512, 1536
 WORD_WEIGHT = 0.25
 THRESHOLD = 0.7
-_MEMO = 300_000
+#: Words that a worker remembers, and the length from which it does not.
+_MEMO, _LONG = 300_000, 64
 _RUNS = re.compile(r"([Aa0])\1+")
 _memo: dict[str, int] = {}
 
@@ -44,7 +46,7 @@ def held_out() -> Column:
 def shape(word: str) -> str:
     """``word`` with runs of letters and digits made one A, a or 0."""
     kinds = "".join(["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word])
-    return _RUNS.sub(r"\1", kinds)[:24]
+    return _RUNS.sub(r"\1", kinds)
 
 
 def _code(word: str) -> int:
@@ -63,6 +65,9 @@ def terms(text: str | None) -> np.ndarray:
             missing = set(words)
         _memo.update((w, _code(w)) for w in missing)
     codes = np.array([_memo[w] for w in words], dtype=np.int64)
+    for w in missing:
+        if len(w) > _LONG:
+            del _memo[w]  # not worth its room
     out = np.bincount(codes & 1023, minlength=SHAPES + WORDS)
     out[SHAPES:] += np.bincount(codes >> 10 & 4095, minlength=WORDS)
     out[0] = int((codes[1:] >> 22 == codes[:-1] >> 22).sum())
@@ -115,21 +120,22 @@ class NeighbourVote:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NeighbourVote:
     """A model of at most ``sample`` labelled rows that are not held out."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out())
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out()).distinct()
     ids = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "quality").limit(sample).drop("h")
 
     def run(batches):
         for batch in batches:
             packed = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 counts = terms(text)
                 at = np.flatnonzero(counts)
                 packed.append(np.concatenate([at, counts[at]]).astype(np.int32).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], names=["quality", "packed"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "quality", "packed"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(ids), "doc_id").select("quality", "text").transform(in_arrow(run, "quality int, packed binary"))
-    rows = rows.limit(4 * sample).collect()  # more than sample only if doc_ids repeat
+    rows = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").transform(in_arrow(run, "doc_id long, quality int, packed binary"))
+    # A row for each label: rows that repeat with one doc_id count once, that of the least terms.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("packed").alias("packed")).collect()
     rows = sorted((r["quality"], bytes(r["packed"])) for r in rows)
     counts = np.zeros((len(rows), SHAPES + WORDS), dtype=np.float32)
     for i, (_, packed) in enumerate(rows):
@@ -146,8 +152,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     def run(batches):
         vote = model.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, 2, 256):
                 score = vote.score(np.stack([terms(t) for t in batch.column(2).to_pylist()]))
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 

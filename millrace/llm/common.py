@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines see; a temporary one only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir, which all machines see; where none is set, a temporary one for a local master, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -42,6 +46,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the cluster's shared folder and read back, so its lineage ends here."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def slices(batch: pa.RecordBatch, column: int, rows: int = ARROW_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in order in parts of at most ``rows`` rows whose texts have about ``size`` bytes; a larger text is a part of its own."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

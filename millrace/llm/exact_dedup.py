@@ -1,14 +1,14 @@
 """Exact deduplication by deterministic block naming.
 
-A text is cut into blocks of fixed size. Equal blocks get equal integer names, different blocks
-different ones: distinct blocks are sorted and numbered. Then adjacent pairs of names are sorted
-and numbered in turn, level by level, until one name stands for the whole text. Two texts of one
-length have the same name exactly if they are identical; no digest decides it.
+A text is cut into blocks of ``BLOCK_BYTES``. Distinct blocks are sorted and get integers in that order as
+names, so equal blocks have equal names and different blocks different ones. Then adjacent pairs of
+names are sorted and numbered in turn, level by level, until one name stands for the whole text. Two
+texts of one length have the same name exactly if they are identical; no digest decides it.
 
-Copies of a block are merged by the map side of the aggregation, so a block that a third of all
-texts share reaches the naming task once from each map task. Names go back to the blocks through
-an 8-byte fingerprint of the block; fingerprints that stand for several blocks are settled by a
-join on the block itself. Only texts of several blocks enter the further levels.
+Blocks are sorted by an 8-byte fingerprint, which brings the names back to the texts; fingerprints that
+stand for several blocks are settled by a sort of, and a join on, the blocks themselves. Copies of a
+block are merged by the map side of the aggregation, so a block that a third of all texts share reaches
+the naming task once from each map task. All text is shuffled once; what follows are integers. A text of n blocks takes part in about log2(n) levels, each of half the rows.
 
 Cases: null text counts as empty; empty texts are equal to each other; a null doc_id is a row like
 others and stays only if its group has no other id; rows repeated with one doc_id are counted each
@@ -23,58 +23,71 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_PAIRS, checkpointed, is_empty, kept_rows, with_small_side
+from millrace.llm.common import BROADCAST_PAIRS, checkpointed, is_empty, kept_rows, stored, with_small_side
 
-#: Bytes in a block: larger than most texts, so that few of them need more than one level.
-BLOCK_BYTES = 16_384
+BLOCK_BYTES = 256
 
 
-def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
-    """Each row of ``distinct`` with a unique integer: its sorted place in its partition."""
-    return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
+def _named(distinct: DataFrame, *keys: str) -> DataFrame:
+    """Each row of ``distinct`` with an integer name; names are in the order of ``keys``."""
+    return distinct.orderBy(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def blocks(docs: DataFrame, block_bytes: int, fingerprint: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, sha, bytes, n, idx, print, block): a row for each block; a short last block stays short."""
+def _texts(docs: DataFrame) -> DataFrame:
     t = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    t = t.select("doc_id", "raw", F.sha2("raw", 256).alias("sha"), F.octet_length("raw").cast("long").alias("bytes"))
+    return t.select("doc_id", "raw", F.unhex(F.sha2("raw", 256)).alias("sha"), F.octet_length("raw").cast("long").alias("bytes"))
+
+
+def _blocks(block_bytes: int) -> Column:
+    """idx and block of each block of raw; a short last block stays short, and an empty text has an empty one."""
+    last = f"greatest(0, cast((bytes - 1) div {block_bytes} as int))"
+    return F.posexplode(F.expr(f"transform(sequence(0, {last}), i -> substring(raw, i * {block_bytes} + 1, {block_bytes}))")).alias("idx", "block")
+
+
+def blocks(docs: DataFrame, block_bytes: int, fingerprint: Callable[[Column], Column]) -> DataFrame:
+    """(row, n, idx, print, doc_id, sha, bytes): a row for each of the n blocks of a text; the last three only with the first block."""
+    t = _texts(docs).withColumn("row", F.monotonically_increasing_id())
     t = t.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(block_bytes))).cast("int"))
-    t = t.select("doc_id", "raw", "sha", "bytes", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
-    t = t.withColumn("block", F.expr(f"substring(raw, idx * {block_bytes} + 1, {block_bytes})")).drop("raw")
-    return t.select("doc_id", "sha", "bytes", "n", "idx", fingerprint(F.col("block")).alias("print"), "block")
+    t = t.select("row", "n", "doc_id", "sha", "bytes", _blocks(block_bytes))
+    once = [F.when(F.col("idx") == 0, F.col(c)).alias(c) for c in ("doc_id", "sha", "bytes")]
+    return t.select("row", "n", "idx", fingerprint(F.col("block")).alias("print"), *once)
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, text_sha256, bytes, name): a row for each row of ``docs``; (bytes, name) is the text's identity."""
-    cut = blocks(docs, block_bytes, fingerprint)
-    named = _numbered(cut.groupBy("print", "block").agg(F.lit(1)), "print", "block")
-    names = checkpointed(named.groupBy("print").agg(F.count(F.lit(1)).alias("alike"), F.max("name").alias("name")))
-    level = cut.drop("block").join(names.filter("alike = 1").drop("alike"), "print")
+    cut = stored(blocks(docs, block_bytes, fingerprint), "blocks")
+    rows = cut.filter("idx = 0").select("row", "doc_id", "sha", "bytes")
+    alone = _texts(docs).select(_blocks(block_bytes)).select(fingerprint(F.col("block")).alias("print"), "block")
+    prints = alone.groupBy("print", "block").agg(F.lit(1)).groupBy("print").agg(F.count(F.lit(1)).alias("alike"))
+    names = stored(_named(prints, "print"), "block-names")
+    level = cut.join(names.filter("alike = 1").drop("alike"), "print").select("row", "n", "idx", "name")
     unclear = names.filter("alike > 1").select("print")
     if not is_empty(unclear):
         # Several blocks under one fingerprint: names below zero, found by the block itself.
-        some = cut.join(with_small_side(unclear), "print")
-        told = checkpointed(_numbered(some.groupBy("block").agg(F.lit(1)), "block").select("block", (-F.col("name") - 1).alias("name")))
-        level = level.unionByName(some.join(told, "block").drop("block"))
-    level = level.select("doc_id", "sha", "bytes", "n", "idx", F.lit(1).cast("long").alias("times"), "name")
-    done = [level.filter("n = 1")]
-    level = checkpointed(level.filter("n > 1"))
+        some = _texts(docs).select("doc_id", "sha", _blocks(block_bytes)).withColumn("print", fingerprint(F.col("block"))).join(with_small_side(unclear), "print")
+        told = checkpointed(_named(some.groupBy("block").agg(F.lit(1)), "block").select("block", (-F.col("name") - 1).alias("name")))
+        some = some.join(told, "block").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), F.col("idx").alias("__idx"), "name").distinct()
+        open_ = cut.select("row", "n", "idx", "print").join(with_small_side(unclear), "print").join(rows, "row")
+        found = open_.join(some, open_["doc_id"].eqNullSafe(some["__id"]) & (open_["sha"] == some["__sha"]) & (open_["idx"] == some["__idx"]))
+        level = level.unionByName(found.select("row", "n", "idx", "name"))
+    level = stored(level, "names")
+    done = [level.filter("n = 1").select("row", "name")]
+    level = level.filter("n > 1")
     while not is_empty(level):
-        pair = level.groupBy("doc_id", "sha", "bytes", "n", F.expr("idx div 2").cast("int").alias("idx")).agg(
-            F.sum(F.expr("if(idx % 2 = 0, times, 0L)")).alias("times"),
+        pair = level.groupBy("row", "n", F.expr("idx div 2").cast("int").alias("idx")).agg(
             F.max(F.expr("if(idx % 2 = 0, name, null)")).alias("left"),
             F.max(F.expr("if(idx % 2 = 1, name, null)")).alias("right"),
         )
         # A last name without a partner pairs with the least long, which names no block.
-        pair = checkpointed(pair.withColumn("right", F.coalesce("right", F.lit(-(2**63)))).withColumn("n", F.expr("(n + 1) div 2").cast("int")))
-        names = checkpointed(_numbered(pair.groupBy("left", "right").agg(F.lit(1)), "left", "right").select("left", "right", "name"))
-        level = pair.join(names, ["left", "right"]).select("doc_id", "sha", "bytes", "n", "idx", "times", "name")
-        done.append(level.filter("n = 1").withColumn("times", F.explode(F.expr("sequence(1L, times)"))))
-        level = checkpointed(level.filter("n > 1"))
+        pair = stored(pair.withColumn("right", F.coalesce("right", F.lit(-(2**63)))).withColumn("n", F.expr("(n + 1) div 2").cast("int")), "pairs")
+        names = stored(_named(pair.groupBy("left", "right").agg(F.lit(1)), "left", "right").select("left", "right", "name"), "pair-names")
+        level = stored(pair.join(names, ["left", "right"]).select("row", "n", "idx", "name"), "names")
+        done.append(level.filter("n = 1").select("row", "name"))
+        level = level.filter("n > 1")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", F.col("sha").alias("text_sha256"), "bytes", "name")
+    return out.join(rows, "row").select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"), "bytes", "name")
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:

@@ -24,7 +24,6 @@ columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from functools import lru_cache
 from math import comb
 
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_PAIRS, checkpointed, in_arrow, kept_rows, shared_folder
+from millrace.llm.common import BROADCAST_PAIRS, checkpointed, in_arrow, kept_rows, stored
 from millrace.llm.components import connected_components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
@@ -165,12 +164,6 @@ def linked(sets: list[np.ndarray], pairs: np.ndarray, cut: int, threshold: float
     return pairs & (common >= threshold * (a[:, None] + b[None, :] - common) - 1e-6)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def signatures(docs: DataFrame, size: int = WORDS, digests: bool = False) -> DataFrame:
     """(key, doc_id, f1, f2, words, signature) for each row: key is unique, f1 and f2 are a digest of its words.
 
@@ -238,7 +231,7 @@ def _band_rows(signed: DataFrame) -> DataFrame:
 
 def candidate_links(signed: DataFrame) -> DataFrame:
     """(a, b): stars that connect all rows of ``signed`` (key, signature) that share a band value."""
-    rows = _stored(_band_rows(signed), "bands")
+    rows = stored(_band_rows(signed), "bands")
     local = rows.filter("band IS NULL").select(F.col("key").alias("a"), F.col("lead").alias("b"))
     leads = rows.filter("band IS NOT NULL")
     least = leads.groupBy("band").agg(F.min("lead").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -326,7 +319,7 @@ def _classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, t
 
     With ``digests`` also stays, the text_digest of the class's row with the least doc_id, and of those the least.
     """
-    rows = _stored(signatures(docs, size, digests), "signatures")
+    rows = stored(signatures(docs, size, digests), "signatures")
     full = rows.filter("words > 0")
     # False sorts before true, so a null doc_id comes last.
     first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_digest")).alias("first")] * digests

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpointed, in_arrow, shared_folder, slices
 
-MIN_LINE, WINDOW, SPAN, SLACK = 20, 20, 16, 8
+MIN_LINE, WINDOW, SPAN, SLACK = 20, 20, 20, 8
 #: Kinds of units: lines and paragraphs, or windows; ``AGAIN`` is added for a repeat in its own text.
 LINE, PART, AGAIN = 0, 1, 2
 _U = np.uint64
