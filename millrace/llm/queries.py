@@ -22,9 +22,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    labelled = turns.filter(F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 5 != 2, F.lit(False)))
-    return chat.format_chats(turns, chat.fit(labelled))
+    pieces = chat.transcripts(table(spark, sf_dir, "conversations"))
+    labelled = pieces.filter(F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 5 != 2, F.lit(False)))
+    return chat.format_chats(pieces.drop("role"), chat.fit(labelled))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
