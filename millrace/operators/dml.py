@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.errors import EngineError
+from millrace.operators.recursion import shared
 from millrace.sources.catalog import Catalog, Table
 
+
 def coerced(t: Table, df: DataFrame) -> DataFrame:
     """``df`` with declared types; ENUM and SET values in canonical form, bad ones raise 1265."""
     for c in t.stored:
@@ -110,13 +112,28 @@ class Writer:
         return df.withColumn(name, (F.col("__start") + place).cast(kind)).drop("__p", "__start")
 
     def _bumped(self, df: DataFrame, name: str, kind: str) -> DataFrame:
-        """Given ids stay, and a larger one bumps those counted after it; so the batch is read in order, in one task."""
+        """Given ids stay, and a larger one bumps those counted after it.
+
+        An id is the highest start so far plus the ids counted so far. Both run on within the parts of __i whose upper
+        bits are alike; of each part only its count and its highest bump come to the driver, which chains them.
+        """
         value = F.when(F.col(name) == 0, None).otherwise(F.col(name))
-        order = Window.orderBy("__i")
-        n = F.sum(value.isNull().cast("long")).over(order)
-        bump = F.max(value + 1 - F.coalesce(n, F.lit(0))).over(order)
-        start = F.greatest(F.lit(self.t.auto_next), F.coalesce(bump, F.lit(self.t.auto_next)))
-        return df.withColumn(name, F.coalesce(value, start + n - 1).cast(kind))
+        df = shared(df.withColumn("__part", F.shiftright("__i", 33)).withColumn("__value", value))
+        order = Window.partitionBy("__part").orderBy("__i")
+        n = F.sum(F.col("__value").isNull().cast("long")).over(order)
+        df = df.withColumn("__n", n).withColumn("__top", F.max(F.col("__value") + 1 - F.col("__n")).over(order))
+        parts = df.groupBy("__part").agg(F.max("__n").alias("n"), F.max("__top").alias("top")).collect()
+        start, counted, rows = self.t.auto_next, 0, []
+        for r in sorted(parts, key=lambda r: r["__part"]):
+            rows.append((r["__part"], start, counted))
+            # Bumps of a part are relative to the ids counted before it.
+            start = max(start, (r["top"] - counted) if r["top"] is not None else start)
+            counted += r["n"]
+        before = self.spark.createDataFrame(rows, "__part long, __start long, __counted long")
+        df = df.join(F.broadcast(before), "__part")
+        start = F.greatest("__start", F.coalesce(F.col("__top") - F.col("__counted"), F.col("__start")))
+        made = F.coalesce("__value", start + F.col("__counted") + F.col("__n") - 1)
+        return df.withColumn(name, made.cast(kind)).drop("__part", "__value", "__n", "__top", "__start", "__counted")
 
     def _bump(self, df: DataFrame, generated: bool) -> None:
         auto = next((c.name for c in self.t.stored if c.auto_increment), None)
@@ -142,22 +159,12 @@ class Writer:
                 self.changes = [("INSERT", None, new.drop("__i"))]
                 self.catalog.append(t, new.drop("__i"), n)
                 return n
-            if mode == "update" and self._clashing(new, keys):
-                # Later rows see what earlier ones did, so rows of one key are applied one after the other.
-                total = 0
-                for r in new.select("__i").orderBy("__i").collect():
-                    total += self._upsert(new.filter(F.col("__i") == r["__i"]), keys, assignments or {}, alias)
-                return total
             if mode == "update":
-                return self._upsert(new, keys, assignments or {}, alias)
+                return self._upserted(new, keys, assignments or {})
             return self._skip(new, keys) if mode == "ignore" else self._replace(new, keys)
         finally:
             new.unpersist()
 
-    @staticmethod
-    def _clashing(new: DataFrame, keys) -> bool:
-        return any(new.dropna(subset=list(c)).groupBy(*c).count().filter("count > 1").take(1) for _, c in keys)
-
     def _first_of_each(self, df: DataFrame, keys, last: bool) -> DataFrame:
         for _, columns in keys:
             order = F.desc("__i") if last else F.asc("__i")
@@ -194,35 +201,93 @@ class Writer:
         rows = self._first_of_each(new, keys, True)
         self.check_rows(rows)
         gone = self._conflicts(old, rows, keys, "left_semi")
+        self.check_children(gone)
         deleted = gone.count() + new.count() - rows.count()
         self._bump(new, False)
         self.changes = [("DELETE", gone, None), ("INSERT", None, rows.drop("__i"))]
         self.catalog.replace(self.t, self._conflicts(old, rows, keys, "left_anti").unionByName(rows.drop("__i")))
         return new.count() + deleted
 
-    def _upsert(self, new: DataFrame, keys, assignments: dict[str, str], alias: str | None) -> int:
-        """1 for an insert, 2 for a change, 0 for a row that stays as it is."""
+    def _upserted(self, new: DataFrame, keys, assignments: dict[str, str]) -> int:
+        """Upserts in rounds: a later row sees what earlier ones did, so of the rows that share a key one is applied at a time.
+
+        There are as many rounds as rows share one key, and each is a joined write over the whole table.
+        """
+        total, rest, changes = 0, new, []
+        while True:
+            first = rest
+            for k, (_, columns) in enumerate(keys):
+                place = F.row_number().over(Window.partitionBy(*columns).orderBy("__i"))
+                full = ~F.greatest(*[F.col(c).isNull() for c in (*columns, *columns)])
+                first = first.withColumn(f"__n{k}", F.when(full, place).otherwise(1))
+            ready = F.lit(True)
+            for k in range(len(keys)):
+                ready = ready & (F.col(f"__n{k}") == 1)
+            marked = shared(first.withColumn("__ready", ready).drop(*[f"__n{k}" for k in range(len(keys))]))
+            now, rest = marked.filter("__ready").drop("__ready"), marked.filter("not __ready").drop("__ready")
+            total += self._upsert(now, keys, assignments)
+            changes += self.changes
+            if not rest.take(1):
+                self.changes = changes
+                return total
+
+    def _upsert(self, new: DataFrame, keys, assignments: dict[str, str]) -> int:
+        """1 for an insert, 2 for a change, 0 for a row that stays as it is. No two of ``new`` share a key.
+
+        A row changes the one that has its first unique key that is taken, in the order of the keys.
+        """
         t = self.t
         names = [c.name for c in t.stored]
-        old = self.catalog.read(t).select(*names)
         self.check_rows(new)
-        key = next((c for _, c in keys if old.join(new.select(*c), list(c), "left_semi").take(1)), keys[0][1])
-        incoming = new.select(*[F.col(n).alias(f"__new_{n}") for n in names])
-        joined = old.join(incoming, [F.col(k) == F.col(f"__new_{k}") for k in key], "left")
-        hit = F.col(f"__new_{key[0]}").isNotNull()
-        merged = joined.withColumns({f"__up_{n}": F.when(hit, F.expr(assignments[n])).otherwise(F.col(n)).cast(t.column(n).spark_type) if n in assignments else F.col(n) for n in names})
+        old = shared(self.catalog.read(t).select(*names).withColumn("__rid", F.monotonically_increasing_id()))
+        incoming = new.select("__i", *[F.col(n).alias(f"__new_{n}") for n in names])
+        hits = None
+        for k, (_, columns) in enumerate(keys):
+            side = old.select("__rid", *[F.col(c).alias(f"__old_{c}") for c in columns])
+            hit = incoming.join(side, [F.col(f"__new_{c}") == F.col(f"__old_{c}") for c in columns]).select("__i", F.lit(k).alias("k"), "__rid")
+            hits = hit if hits is None else hits.unionByName(hit)
+        targets = shared(hits.groupBy("__i").agg(F.min(F.struct("k", "__rid")).alias("t")).select("__i", F.col("t.__rid").alias("__rid")))
+        if targets.groupBy("__rid").count().filter("count > 1").take(1):
+            # Two rows meet one old row through different keys: the earlier ones of each old row go first.
+            late = targets.withColumn("n", F.row_number().over(Window.partitionBy("__rid").orderBy("__i"))).filter("n > 1").select("__i")
+            late = shared(late)
+            bound = late.agg(F.min("__i")).first()[0]
+            total = self._upsert(new.filter(F.col("__i") < bound), keys, assignments)
+            changes = self.changes
+            total += self._upsert(new.filter(F.col("__i") >= bound), keys, assignments)
+            self.changes = changes + self.changes
+            return total
+        joined = old.join(targets.join(incoming, "__i"), "__rid", "left")
+        hit = F.col("__i").isNotNull()
+        up = {f"__up_{n}": F.when(hit, F.expr(assignments[n])).otherwise(F.col(n)).cast(t.column(n).spark_type) if n in assignments else F.col(n) for n in names}
+        merged = joined.withColumns(up)
         differs = F.lit(False)
         for n in names:
             differs = differs | ~F.col(n).eqNullSafe(F.col(f"__up_{n}"))
-        changed = merged.filter(hit & differs).count()
-        added = new.drop("__i").join(old.select(*key), list(key), "left_anti").select(*names)
+        changed = merged.filter(hit & differs)
+        n_changed = changed.count()
+        added = new.join(targets.select("__i"), "__i", "left_anti").select(*names)
         n_added = added.count()
-        after = merged.select(*[F.col(f"__up_{n}").alias(n) for n in names])
+        updated = coerced(t, changed.select(*[F.col(f"__up_{n}").alias(n) for n in names]))
+        if n_changed:
+            self.check_rows(updated)
+            self.check_moved(changed, set(assignments))
+        whole = coerced(t, merged.select(*[F.col(f"__up_{n}").alias(n) for n in names])).unionByName(added)
+        if len(keys) > 1 or any(c in assignments for _, columns in keys for c in columns):
+            self.check_unique(whole)
         self._bump(added, False)
-        before = merged.filter(hit & differs)
-        self.changes = [("INSERT", None, added), ("UPDATE", before.select(*names), before.select(*[F.col(f"__up_{n}").alias(n) for n in names]))]
-        self.catalog.replace(t, after.unionByName(added))
-        return n_added + 2 * changed
+        self.changes = [("INSERT", None, added), ("UPDATE", changed.select(*names), updated)]
+        self.catalog.replace(t, whole)
+        return n_added + 2 * n_changed
+
+    def check_moved(self, changed: DataFrame, assigned: set[str]) -> None:
+        """Error 1451 where a column that another table refers to changes (``changed`` has __up_ columns) under a child."""
+        parents = sorted({p for other in self.catalog.databases[self.db].values() for fk in other.foreign_keys if fk.parent.lower() == self.t.name.lower() for p in fk.parent_columns})
+        if assigned.intersection(parents):
+            moved = F.lit(False)
+            for k in parents:
+                moved = moved | ~F.col(k).eqNullSafe(F.col(f"__up_{k}"))
+            self.check_children(changed.filter(moved).select(*[c.name for c in self.t.stored]))
 
     def update(self, assignments: dict[str, str], where: str | None, matched: DataFrame | None = None) -> int:
         """Set columns where ``where`` holds, or in the rows that ``matched`` has by primary key with columns __set_*."""
@@ -249,13 +314,7 @@ class Writer:
         after = changed.select(*[F.col(f"__up_{x}").alias(x) for x in names])
         after = coerced(t, after)
         self.check_rows(after)
-        parents = {p for other in self.catalog.databases[self.db].values() for fk in other.foreign_keys if fk.parent.lower() == t.name.lower() for p in fk.parent_columns}
-        if parents & set(assignments):
-            keys = sorted(parents)
-            moved = F.lit(False)
-            for k in keys:
-                moved = moved | ~F.col(k).eqNullSafe(F.col(f"__up_{k}"))
-            self.check_children(changed.filter(moved).select(*names))
+        self.check_moved(changed, set(assignments))
         whole = coerced(t, full.select(*[F.col(f"__up_{x}").alias(x) for x in names]))
         if any(c in assignments for _, columns in t.unique_keys() for c in columns):
             self.check_unique(whole)

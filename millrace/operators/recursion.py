@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from millrace.errors import EngineError
+from millrace.storage import shared_base
 
 MAX_ROUNDS = 1000
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the session names; a temporary one only where none is set."""
-    sc, spark = df.sparkSession.sparkContext, df.sparkSession
+    """``df`` checkpointed in the folder that the session names."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
