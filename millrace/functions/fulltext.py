@@ -21,7 +21,7 @@ def tokens(text: Column) -> Column:
 
 
 def tokens_sql(text: str) -> str:
-    return f"array_distinct(filter(split(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+'), x -> length(x) >= {LEAST_LENGTH}))"
+    return f"array_distinct(filter(split(translate(coalesce(CAST({text} AS STRING), ''), '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+'), x -> length(x) >= {LEAST_LENGTH}))"
 
 
 def parse(query: str) -> tuple[list[str], list[str], list[str]]:

@@ -69,8 +69,14 @@ def substring(x: str, at: str, n: str | None = None) -> str:
     return f"(CASE WHEN {at} = 0 THEN substring({x}, 1, 0) ELSE {call} END)"
 
 
+def binary(x: str) -> str:
+    """``x`` as a text without a collation: what searches letters one by one takes no other, and MySQL's REPLACE and TRIM tell case."""
+    return x if _is_text(x) else f"CAST({x} AS STRING)"
+
+
 def trim(x: str, side: str = "BOTH", what: str | None = None) -> str:
     """Without ``what`` all white space at the ends goes."""
+    x = binary(x)
     if what is not None:
         return f"trim({side} {what} FROM {x})"
     if side in ("BOTH", "LEADING"):
@@ -103,7 +109,7 @@ def condition(c: str, a: str, b: str) -> str:
 
 def truthy(x: str) -> str:
     """Whether a text's leading number is not 0."""
-    return f"(coalesce(try_cast(regexp_extract({x}, '^\\\\s*([+-]?[0-9]+([.][0-9]*)?)', 1) AS DOUBLE), 0D) <> 0D)"
+    return f"(coalesce(try_cast(regexp_extract({binary(x)}, '^\\\\s*([+-]?[0-9]+([.][0-9]*)?)', 1) AS DOUBLE), 0D) <> 0D)"
 
 
 def json_value(x: str) -> str:
@@ -141,6 +147,7 @@ def json_text(doc: str, path: str) -> str:
 
 
 def json_unquote(x: str) -> str:
+    x = binary(x)
     return f"(CASE WHEN {x} LIKE '\"%\"' THEN get_json_object(concat('[', {x}, ']'), '$[0]') ELSE {x} END)"
 
 
@@ -161,7 +168,7 @@ def _one(template: str):
 
 
 def _strip(side: str):
-    return lambda x, what=None: f"trim({side} {what or repr(' ')} FROM {x})"
+    return lambda x, what=None: f"trim({side} {what or repr(' ')} FROM {binary(x)})"
 
 
 FUNCTIONS = {
@@ -171,7 +178,9 @@ FUNCTIONS = {
     "LTRIM": _strip("LEADING"), "RTRIM": _strip("TRAILING"),
     "GREATEST": lambda *a: extreme("greatest", *a), "LEAST": lambda *a: extreme("least", *a),
     "IF": condition, "IFNULL": _one("coalesce({0}, {1})"),
-    "REPLACE": lambda x, a, b: x if a == "''" else f"replace({x}, {a}, {b})",
+    "REPLACE": lambda x, a, b: x if a == "''" else f"replace({binary(x)}, {a}, {b})",
+    "SUBSTRING_INDEX": lambda x, a, n: f"substring_index({binary(x)}, {a}, {n})",
+    "NULLIF": _one("if({0} = {1}, NULL, {0})"),
     "DATEDIFF": lambda a, b: f"CAST(datediff({temporal(a)}, {temporal(b)}) AS BIGINT)",
     "NOW": lambda *_: "CAST(date_trunc('SECOND', now()) AS TIMESTAMP_NTZ)", "CURRENT_TIMESTAMP": lambda *_: "CAST(date_trunc('SECOND', now()) AS TIMESTAMP_NTZ)",
     "LOCALTIME": lambda *_: "CAST(date_trunc('SECOND', now()) AS TIMESTAMP_NTZ)", "LOCALTIMESTAMP": lambda *_: "CAST(date_trunc('SECOND', now()) AS TIMESTAMP_NTZ)",

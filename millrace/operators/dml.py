@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.errors import EngineError
@@ -64,10 +64,14 @@ class Writer:
     def check_unique(self, df: DataFrame) -> None:
         """Error 1062 where two rows of the whole table share a key."""
         for name, columns in self.t.unique_keys():
-            keys = [F.col(f"`{c}`") for c in columns]
-            if df.select(*keys).dropna().groupBy(*keys).count().filter("count > 1").take(1):
+            keys = [self.key(c).alias(f"k{i}") for i, c in enumerate(columns)]
+            if df.select(*keys).dropna().groupBy(*[f"k{i}" for i in range(len(keys))]).count().filter("count > 1").take(1):
                 raise EngineError(1062, f"Duplicate entry for key '{self.t.name}.{name}'")
 
+    def key(self, name: str, prefix: str = "") -> Column:
+        """The column as unique keys compare it: texts without case and accents."""
+        return self.t.column(name).key(F.col(f"`{prefix}{name}`"))
+
     def check_children(self, gone: DataFrame) -> None:
         """Error 1451 where a row of another table still refers to one of ``gone``."""
         for other in self.catalog.databases[self.db].values():
@@ -171,21 +175,25 @@ class Writer:
             some_null = F.lit(False)
             for c in columns:
                 some_null = some_null | F.col(c).isNull()
-            df = df.withColumn("__n", F.row_number().over(Window.partitionBy(*columns).orderBy(order))).filter((F.col("__n") == 1) | some_null).drop("__n")
+            df = df.withColumn("__n", F.row_number().over(Window.partitionBy(*map(self.key, columns)).orderBy(order))).filter((F.col("__n") == 1) | some_null).drop("__n")
         return df
 
     def _conflicts(self, left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
         """``left`` semi- or anti-joined with ``right`` on any of the unique keys, one hash join for each."""
         if how == "left_anti":
             for _, columns in keys:
-                left = left.join(right.select(*columns).distinct(), list(columns), "left_anti").select(*left.columns)
+                left = self._matched(left, right, columns, how)
             return left
-        parts = [left.join(right.select(*columns).distinct(), list(columns), "left_semi").select(*left.columns) for _, columns in keys]
+        parts = [self._matched(left, right, columns, how) for _, columns in keys]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out.dropDuplicates(list(keys[0][1])) if len(parts) > 1 else out
 
+    def _matched(self, left: DataFrame, right: DataFrame, columns: tuple[str, ...], how: str) -> DataFrame:
+        taken = right.select(*[self.key(c).alias(f"__k{i}") for i, c in enumerate(columns)]).distinct()
+        return left.join(taken, [self.key(c) == F.col(f"__k{i}") for i, c in enumerate(columns)], how)
+
     def _skip(self, new: DataFrame, keys) -> int:
         rows = self._conflicts(self._first_of_each(new, keys, False), self.catalog.read(self.t), keys, "left_anti").cache()
         self.check_rows(rows)
@@ -217,7 +225,7 @@ class Writer:
         while True:
             first = rest
             for k, (_, columns) in enumerate(keys):
-                place = F.row_number().over(Window.partitionBy(*columns).orderBy("__i"))
+                place = F.row_number().over(Window.partitionBy(*map(self.key, columns)).orderBy("__i"))
                 full = ~F.greatest(*[F.col(c).isNull() for c in (*columns, *columns)])
                 first = first.withColumn(f"__n{k}", F.when(full, place).otherwise(1))
             ready = F.lit(True)
@@ -244,7 +252,7 @@ class Writer:
         hits = None
         for k, (_, columns) in enumerate(keys):
             side = old.select("__rid", *[F.col(c).alias(f"__old_{c}") for c in columns])
-            hit = incoming.join(side, [F.col(f"__new_{c}") == F.col(f"__old_{c}") for c in columns]).select("__i", F.lit(k).alias("k"), "__rid")
+            hit = incoming.join(side, [self.key(c, "__new_") == self.key(c, "__old_") for c in columns]).select("__i", F.lit(k).alias("k"), "__rid")
             hits = hit if hits is None else hits.unionByName(hit)
         targets = shared(hits.groupBy("__i").agg(F.min(F.struct("k", "__rid")).alias("t")).select("__i", F.col("t.__rid").alias("__rid")))
         if targets.groupBy("__rid").count().filter("count > 1").take(1):
@@ -304,8 +312,10 @@ class Writer:
         else:
             hit = F.coalesce(F.expr(where).cast("boolean"), F.lit(False)) if where else F.lit(True)
             values = {n: F.expr(sql) for n, sql in assignments.items()}
-        full = full.withColumn("__hit", hit)
-        full = full.withColumns({f"__up_{n}": F.when(F.col("__hit"), values[n].cast(t.column(n).spark_type)).otherwise(F.col(n)) if n in values else F.col(n) for n in names})
+        # What is compared is collated, what is stored is not.
+        full = full.withColumns({"__hit": hit, **{f"__val_{n}": value.cast(t.column(n).spark_type) for n, value in values.items()}})
+        full = full.withColumns({n: F.col(n).cast(t.column(n).spark_type) for n in names})
+        full = full.withColumns({f"__up_{n}": F.when(F.col("__hit"), F.col(f"__val_{n}")).otherwise(F.col(n)) if n in values else F.col(n) for n in names})
         differs = F.lit(False)
         for n in names:
             differs = differs | ~F.col(n).eqNullSafe(F.col(f"__up_{n}"))
@@ -334,6 +344,7 @@ class Writer:
         else:
             hit = F.coalesce(F.expr(where).cast("boolean"), F.lit(False)) if where else F.lit(True)
             gone, stay = full.filter(hit).select(*names), full.filter(~hit).select(*names)
+        gone, stay = (x.withColumns({c: F.col(c).cast(t.column(c).spark_type) for c in names}) for x in (gone, stay))
         n = gone.count()
         self.check_children(gone)
         self.changes = [("DELETE", gone, None)]

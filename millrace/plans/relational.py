@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.recursion import fixpoint_distinct
 from millrace.plans.registry import df_query, load, sql_query
+from millrace.sources.partitions import RangePartitions
+from millrace.storage import shared_root
 
 # ---- scans ----
 sql_query("scan_full", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
@@ -25,10 +27,10 @@ PARTITION_BOUNDS = (250, 500, 1000)
 
 @df_query("scan_partition_prune", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 300")
 def scan_partition_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.sources.partitions import RangePartitions
-
-    parts = RangePartitions("o_custkey", PARTITION_BOUNDS)
-    return parts.prune_equal(parts.tag(load(spark, sf_dir, "orders")), 300).select("o_orderkey", "o_custkey")
+    """Rows are written by partition, and one partition's files are read."""
+    parts, path = RangePartitions("o_custkey", PARTITION_BOUNDS), shared_root(spark, "partitioned")
+    parts.tag(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).write.partitionBy("_partition").parquet(path)
+    return parts.prune_equal(spark.read.parquet(path), 300).select("o_orderkey", "o_custkey")
 
 
 @df_query("view_query", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
@@ -55,8 +57,8 @@ def generated_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql_query("filter_compare", "SELECT p_partkey FROM part WHERE p_size > 10 AND p_size <= 20 AND p_retailprice <> 1000 AND p_brand >= 'Brand#2'")
 sql_query("filter_and_or_not", "SELECT p_partkey FROM part WHERE (p_size < 5 OR p_size > 45) AND NOT (p_brand = 'Brand#11')")
 sql_query("filter_is_null", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000 WHERE o.o_orderkey IS NULL")
-sql_query("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_name NOT LIKE '%9'")
-sql_query("filter_between", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 1000 AND 1200 AND p_size NOT BETWEEN 10 AND 20")
+sql_query("filter_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%O%' AND p_brand NOT LIKE '%1'")
+sql_query("filter_between", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 910 AND 950 AND p_size NOT BETWEEN 10 AND 20")
 sql_query("filter_in_list", "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 5, 9) OR p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13')")
 sql_query("subquery_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 sql_query("subquery_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")

@@ -11,10 +11,12 @@ import copy
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.errors import EngineError
+from millrace.functions.collation import collated
 from millrace.sources.partitions import RangePartitions
 
 
@@ -30,6 +32,16 @@ class Column:
     invisible: bool = False
     members: tuple[str, ...] = ()  # of ENUM or SET
     is_set: bool = False
+    collation: str = ""  # as declared, or the default's for ''
+
+    @property
+    def folds(self) -> bool:
+        """Whether values are compared without case and accents, as texts are by default."""
+        return self.spark_type.upper() == "STRING" and not self.type.upper().startswith("JSON") and not self.collation.lower().endswith("_bin")
+
+    def key(self, value: SparkColumn) -> SparkColumn:
+        """``value`` of this column as it is compared."""
+        return collated(value) if self.folds else value
 
 
 @dataclass
@@ -116,13 +128,19 @@ class Catalog:
         return df
 
     def visible(self, t: Table, named: set[str]) -> DataFrame:
-        """``t`` as queries see it: virtual columns computed, invisible ones only where ``named``."""
+        """``t`` as queries see it: virtual columns computed, invisible ones only where ``named``, texts with their collation.
+
+        A filter on the column of a partitioned table reaches the partitions: its number follows from the column, and for
+        one value the optimizer computes it.
+        """
         df = self.read(t)
+        if t.partitions:
+            df = df.filter(F.col("_partition") == t.partitions.number_of(F.col(t.partitions.column)))
         for c in t.columns:
             if c.generated is not None:
                 df = df.withColumn(c.name, F.expr(c.generated).cast(c.spark_type))
         keep = [c.name for c in t.columns if not c.invisible or c.name.lower() in named]
-        return df.select(*[F.col(f"`{c}`") for c in keep])
+        return df.select(*[t.column(c).key(F.col(f"`{c}`")).alias(c) for c in keep])
 
     def write(self, t: Table, df: DataFrame) -> str:
         """A new segment with the stored columns of ``df``; it is not yet part of the table."""

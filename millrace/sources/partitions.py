@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.errors import EngineError
@@ -23,10 +23,14 @@ class RangePartitions:
 
     def tag(self, df: DataFrame, name: str = "_partition") -> DataFrame:
         """``df`` with its partition number, to write with partitionBy so that files can be skipped."""
+        return df.withColumn(name, self.number_of(F.col(self.column)))
+
+    def number_of(self, value: Column) -> Column:
+        """Partition of ``value`` as an expression; null goes into the first."""
         number = F.lit(len(self.bounds))
         for i in range(len(self.bounds) - 1, -1, -1):
-            number = F.when(F.col(self.column) < self.bounds[i], i).otherwise(number)
-        return df.withColumn(name, number)
+            number = F.when(value < self.bounds[i], i).otherwise(number)
+        return F.when(value.isNull(), 0).otherwise(number)
 
     def prune_equal(self, tagged: DataFrame, value: int, name: str = "_partition") -> DataFrame:
         """Rows with the column equal to ``value``, read from one partition."""
