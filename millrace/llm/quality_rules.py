@@ -7,8 +7,8 @@ removed. A document that loses at least ``depleted`` of its words that way is re
 that fails the plain rules.
 
 The counts combine on the map side, so a line that every document holds reaches a task once from
-each map task. The boilerplate lines are counted and broadcast only up to ``BROADCAST_LINES``;
-beyond it they are joined by a shuffle.
+each map task. The boilerplate lines are counted and broadcast only up to ``BROADCAST_LINES`` and
+``HOST_LINES`` of one host; beyond it they are joined by a shuffle.
 
 Cases: a null text has no words and fails; a null host is the host ''; ties cannot arise; repeated
 rows are reported each, and their removed words are those of one; an empty table gives an empty
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import GAP, checkpointed, words_of
 
 MIN_DOCS, SHARE, DEPLETED = 20, 0.01, 0.7
-#: 24 bytes a line, so 2.4 MB at most.
-BROADCAST_LINES = 100_000
+#: Boilerplate lines up to this many may be broadcast (24 bytes a line, so 2.4 MB at most) if no host has more of them
+#: than ``HOST_LINES``, as each line of a text is looked for among those of its host; else they are joined by a shuffle.
+BROADCAST_LINES, HOST_LINES = 100_000, 2_000
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\f\r"
 #: Word positions take the low bits of a packed key, so the high 44 bits are the window's hash.
@@ -65,26 +66,6 @@ def _slow(words: str, n: str) -> str:
       transform(filter(sequence(0, greatest(size(g) - 2, 0)), j -> size(g) > 1 AND {same}), j -> array(g[j].i, g[j + 1].i)))))))"""
 
 
-def _removed(lines: str, gone: str) -> str:
-    """SQL for the number of words in the ``lines`` at the places ``gone``."""
-    return f"aggregate(array({lines}), 0L, (acc, l) -> aggregate({gone}, acc, (a, i) -> a + size(filter(split(l[i], r'{GAP}'), w -> w != ''))))"
-
-
-def text_stats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for each row."""
-    t = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    t = t.select("doc_id", "t", words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: F.translate(x, _SPACES, "") != "").alias("lines"))
-    t = t.select(
-        "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("t", _SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(repeated_words("w")).alias("n_repeat_words"),
-    )
-    return t.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-
-
 def _norm(line: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(line, GAP, " ")))
 
@@ -122,7 +103,8 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
 def mark_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, bound: int = BROADCAST_LINES) -> DataFrame:
     """``docs`` with __gone, the places (from 0) of its boilerplate lines among its \\n-split lines."""
     frequent = checkpointed(frequent_lines(docs, min_docs, share).select("__host", "line"))
-    if frequent.count() <= bound:
+    size = frequent.groupBy("__host").count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
+    if (size["all"] or 0) <= bound and (size["most"] or 0) <= HOST_LINES:
         by_host = frequent.groupBy("__host").agg(F.collect_list("line").alias("__lines"))
         t = docs.withColumn("__host", _host()).join(F.broadcast(by_host), "__host", "left")
         t = t.withColumn("__hashes", F.when(F.col("__lines").isNotNull(), _hashes(F.col("text"))))
