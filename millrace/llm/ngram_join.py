@@ -41,6 +41,8 @@ from millrace.llm.components import connected_components
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 HASHES, ROWS, CHECK_EVERY = 252, 6, 8
 BLOCK_DOCS, BLOCK_WORDS = 1024, 2_000_000
+#: Rows whose bands a task links at a time.
+HELD_ROWS = 12_000
 #: Members of candidate components up to this many are broadcast (about 15 MB) to pick their texts.
 BROADCAST_MEMBERS = 250_000
 _MEMO = 150_000
@@ -205,8 +207,9 @@ def _band_rows(signed: DataFrame) -> DataFrame:
         key, value = key[order], value[order]
         first = np.r_[True, value[1:] != value[:-1]]
         lead = key[first][np.cumsum(first) - 1]
-        rest = ~first
-        links = np.unique(np.stack([key[rest], lead[rest]], axis=1), axis=0) if rest.any() else np.zeros((0, 2), dtype=np.int64)
+        links = np.stack([key[~first], lead[~first]], axis=1)
+        links = links[np.lexsort((links[:, 1], links[:, 0]))]
+        links = links[np.r_[True, (links[1:] != links[:-1]).any(axis=1)][: len(links)]]
         n, m = int(first.sum()), len(links)
         band = pa.array(np.r_[value[first], np.zeros(m, dtype=np.int64)], mask=np.r_[np.zeros(n, dtype=bool), np.ones(m, dtype=bool)])
         return pa.record_batch([band, pa.array(np.r_[lead[first], links[:, 0]]), pa.array(np.r_[lead[first], links[:, 1]])], schema=schema)
@@ -221,7 +224,7 @@ def _band_rows(signed: DataFrame) -> DataFrame:
             keys.append(batch.column(0).to_numpy())
             values.append(value.reshape(-1).astype(np.int64))
             held += batch.num_rows
-            if held >= 50_000:
+            if held >= HELD_ROWS:
                 yield stars(keys, values)
                 keys, values, held = [], [], 0
         if held:
