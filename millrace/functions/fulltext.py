@@ -50,5 +50,7 @@ def match_sql(columns: list[str], query: str) -> str:
         tests.append(f"arrays_overlap(w, {array(optional)})")
     if excluded:
         tests.append(f"NOT arrays_overlap(w, {array(excluded)})")
-    # Words are split once for each text.
-    return f"exists(array({tokens_sql(text)}), w -> {' AND '.join(tests)})"
+    # A text is split, once, only if the words stand in it at all.
+    lower = f"translate(coalesce(CAST({text} AS STRING), ''), '{_UPPER}', '{_LOWER}')"
+    held = " AND ".join(f"contains({lower}, {quote(w)})" for w in required) or " OR ".join(f"contains({lower}, {quote(w)})" for w in optional)
+    return f"(({held}) AND exists(array({tokens_sql(text)}), w -> {' AND '.join(tests)}))"
