@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, exact dedup, near dedup, masking and packing over documents.
 
 Each stage is written to the shared checkpoint folder and read again as the next one's input.
+
+Cases: null, empty and short texts go in the quality stage; null doc_ids are ids like others, and different
+texts of one doc_id are rows of their own; of equal texts the largest doc_id stays, of near copies the least
+(nulls last), of whole repeated rows one; very long texts are read whole and packed in pieces; an empty table
+gives no pieces; further columns stay through all stages but the last.
 """
 
 from __future__ import annotations
