@@ -65,3 +65,11 @@ def test_a_text_key_is_one_whatever_its_case(s):
     assert got(s, "SELECT * FROM t") == [("Ab", 1), ("C", 4)]
     s.sql("CREATE TABLE b (name VARCHAR(9) COLLATE utf8mb4_bin PRIMARY KEY); INSERT INTO b VALUES ('x'), ('X')")
     assert got(s, "SELECT name FROM b WHERE name = 'X'") == [("X",)]
+
+
+def test_many_rows_are_one_local_relation(s):
+    s.sql("CREATE TABLE t (id INT PRIMARY KEY, a VARCHAR(40), d DOUBLE DEFAULT 2.5)")
+    s.sql("INSERT INTO t VALUES " + ", ".join(f"({k}, {'NULL' if k % 3 else repr(str(k))}, DEFAULT)" for k in range(300)))
+    assert got(s, "SELECT COUNT(*), COUNT(a), SUM(d) FROM t") == [(300, 100, 750.0)]
+    s.sql("INSERT INTO t (id, a) VALUES (1000, UUID()), (1001, 'x')")
+    assert got(s, "SELECT LENGTH(a) FROM t WHERE id >= 1000") == [(1,), (36,)]
